@@ -29,6 +29,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_BYTE_2 = mix64(_BYTE + np.uint64(0x632BE59BD9B4E019))
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -93,16 +94,16 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span; the spans ascend and don't overlap."""
-    out = np.zeros(len(starts), np.uint64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray:
+    """A 64-bit polynomial hash of each span, or a second one; the spans ascend and don't overlap."""
+    out, byte = np.zeros(len(starts), np.uint64), _BYTE_2 if second else _BYTE
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         up, down = _tables(max(_SPAN, hi - lo) + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[buf[lo:hi]] * up[: hi - lo], out=total[1:])
+        np.cumsum(byte[buf[lo:hi]] * up[: hi - lo], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = (total[e] - total[s]) * down[s]
         i = j
@@ -119,3 +120,12 @@ def per_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """True flags in each text (or in each range of `offs`)."""
     total = counts_before(flags)
     return total[offs[1:]] - total[offs[:-1]]
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, start + 1, ... of each range, one range after the other."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(total)
