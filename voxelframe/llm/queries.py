@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_crf, quality_rules
+from . import bpe, language_id, quality_crf, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = lambda c: F.crc32(F.col(c).cast("string")) % 4
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(*language_id.training_rows(docs.select("doc_id", "text", "lang"), allowed=remainder("id") != 2))
+    held = F.coalesce(remainder("doc_id") == 2, F.lit(False))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_bytes_agreeing")
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     allowed = F.crc32(F.col("id").cast("string")) % 3 != 1
