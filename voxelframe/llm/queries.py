@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_crf, quality_rules
+from . import bpe, chat_format, language_id, quality_crf, quality_rules, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs).drop("text")
 
 
+#: The conversation that op9 adds.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    done = chat_format.format_records(chat_format.records_of_rows(rows.unionByName(odd)))
+    back = done.select("conv_id", "formatted", chat_format.read_back(F.col("formatted"), F.col("loss_spans")).alias("b"))
+    return back.select("conv_id", F.col("b.n_turns").alias("n_turns"), F.sha2("b.turns_text", 256).alias("turns_sha256"), F.length("b.loss_text").cast("long").alias("loss_chars"), F.sha2("b.loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < 2.0**46, F.floor(x.cast("double") * 64).cast("double")).otherwise(x.cast("double") * 64))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", scaled.alias("embedding"))
+    return vector_search.top_k(vectors, F.col("id") % 20 == 0, integer=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
