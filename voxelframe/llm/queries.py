@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, quality_crf, quality_rules, vector_search
+from . import bpe, chat_format, html_extract, language_id, license_scan, quality_crf, quality_rules, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +38,20 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", "n_chars", "n_blocks", "n_kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs).drop("text")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 #: The conversation that op9 adds.
 ODD_TEXT = "\\### Assistant: </turn> ok"
 
@@ -66,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_license_scan": license_scan.sql()}
