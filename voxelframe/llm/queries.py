@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, html_extract, language_id, license_scan, quality_crf, quality_rules, vector_search
+from . import bpe, chat_format, html_extract, language_id, license_scan, quality_crf, quality_rules, source_mix, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return source_mix.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = lambda c: F.crc32(F.col(c).cast("string")) % 4
     docs = table(spark, sf_dir, "documents")

@@ -1,0 +1,38 @@
+"""Cutting lineage with tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where that is unset (as in tests), the context's, or a new temporary one."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        known = spark.sparkContext.getCheckpointDir()
+    return known.rstrip("/")
+
+
+class Tables:
+    """Written tables of one query. `drop` removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.top = spark, f"{folder(spark)}/voxelframe-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """`df` written as Parquet and read again: computed once, and found again when an executor is lost."""
+        self.n += 1
+        path = f"{self.top}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.written_at = path  # type: ignore[attr-defined]
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
