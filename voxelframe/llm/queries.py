@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, html_extract, language_id, license_scan, quality_crf, quality_rules, source_mix, vector_search
+from . import bpe, chat_format, html_extract, language_id, license_scan, ngram_join, quality_crf, quality_rules, source_mix, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = lambda c: F.crc32(F.col(c).cast("string")) % 4
     docs = table(spark, sf_dir, "documents")
