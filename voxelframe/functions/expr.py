@@ -135,7 +135,7 @@ def scroll_label(is_fragment: Column, num: Column, scroll_id: Column) -> Column:
 
 def area_label(area: Column) -> Column:
     """An area to one decimal (ties to even), or an empty string."""
-    return F.coalesce(F.format_string("%.1f", F.bround(area, 1)), F.lit(""))
+    return F.when(area.isNotNull(), F.format_string("%.1f", F.bround(area, 1))).otherwise("")
 
 
 def cache_name(url: Column) -> Column:

@@ -40,4 +40,5 @@ def connected_components(edges: DataFrame, tables: Tables, rounds: int = 64) ->
         now = tables.cut(near.select(b.alias("a"), F.col("low").alias("b")).where(a != b).unionByName(near.select("a", F.col("low").alias("b"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(a.alias("node"), b.alias("root")).unionByName(now.select(b.alias("node"), b.alias("root"))).unionByName(loops).distinct()
+    named = now.select(a.alias("node"), b.alias("root")).unionByName(now.select(b.alias("node"), b.alias("root"))).unionByName(loops)
+    return named.groupBy("node").agg(F.min("root").alias("root"))  # a loop's node may have other edges too
