@@ -13,7 +13,7 @@ I32 = (-2147483648, 2147483647)
 
 def _clamped(x: Column, low: float, high: float) -> Column:
     x = x.cast("double")
-    return F.when(F.isnan(x), F.lit(0.0)).otherwise(F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
+    return F.when(F.isnan(x), F.lit(0.0)).when(x.isNotNull(), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def to_i32(x: Column) -> Column:

@@ -29,14 +29,19 @@ def latest(reports: DataFrame) -> DataFrame:
     return reports.groupBy("cx", "cy", "cz").agg(F.max(F.struct("ts", "state")).alias("l"), F.count("*").alias("n_reports")).select("cx", "cy", "cz", F.col("l.state").alias("state"), "n_reports")
 
 
+def _timed(reports: DataFrame) -> DataFrame:
+    """Watermarks take timestamps of the session's time zone only."""
+    return reports.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def deduplicated(reports: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """One report of each chunk and state within the watermark: downloads in flight are asked for once."""
-    return reports.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["cx", "cy", "cz", "state"])
+    return _timed(reports).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["cx", "cy", "cz", "state"])
 
 
 def windowed(reports: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Reports by time window and state; late ones within the watermark count."""
-    return reports.withWatermark("ts", delay).groupBy(F.window("ts", width), "state").agg(F.count("*").alias("n"))
+    return _timed(reports).withWatermark("ts", delay).groupBy(F.window("ts", width), "state").agg(F.count("*").alias("n"))
 
 
 def run_available(spark: SparkSession, source: str, schema, work: Tables) -> DataFrame:
