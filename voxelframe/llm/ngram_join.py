@@ -54,7 +54,7 @@ def bands_for(similarity: float, recall: float, most_hashes: int) -> tuple[int,
     best = None
     for rows in range(1, most_hashes + 1):
         p = similarity**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:

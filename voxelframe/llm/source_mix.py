@@ -79,7 +79,7 @@ def _invert(share: Column, begin: Column, end: Column) -> Column:
     """t with begin*t + (end-begin)*t*t/2 = share, for a density of mean 1."""
     slope = end - begin
     root = F.sqrt(F.greatest(begin * begin + 2 * slope * share, F.lit(0.0)))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * share / (begin + root)))
+    return F.when(share <= 0, 0.0).otherwise(F.least(F.lit(1.0), 2 * share / (begin + root)))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:
