@@ -71,5 +71,5 @@ def oldest_share(accesses: DataFrame, key: str, when: str, parts: int = 5) -> Da
     Only each key's last access is ranked; the border is a quantile over these, not a sort in one task.
     """
     last = accesses.groupBy(key).agg(F.max(when).alias("last"))
-    border = last.agg(F.expr(f"percentile_disc({1 / parts}) within group (order by last)").alias("border"))
-    return last.crossJoin(F.broadcast(border)).where("last <= border").select(key, "last")
+    border = last.agg(F.expr(f"percentile_disc({1 / parts}) within group (order by last)").alias("border")).first().border
+    return last.where(F.col("last") <= F.lit(border)).select(key, "last")

@@ -39,23 +39,21 @@ def affine_invert(m: Affine) -> Affine:
     return tuple((*line, -(line[0] * p + line[1] * q + line[2] * r)) for line in lin)
 
 
-def _spread(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """`rows` with min_c and max_c of each column over all rows: one aggregate row, joined back by broadcast."""
-    bounds = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
-    return rows.crossJoin(F.broadcast(bounds))
+def _rescaled(rows: DataFrame, columns: tuple[str, ...]) -> dict[str, Column]:
+    """Each column rescaled to 0..1 by its least and largest value: one aggregate row reaches the driver."""
+    low = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]).first()
+    return {c: (F.col(c) - F.lit(low[f"min_{c}"])) / (F.lit(low[f"max_{c}"]) - F.lit(low[f"min_{c}"])) for c in columns}
 
 
 def uv_normalise(vertices: DataFrame) -> DataFrame:
     """Texture coordinates rescaled to 0..1."""
-    scale = lambda c: (F.col(c) - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}"))
-    return _spread(vertices, ("u", "v")).withColumns({"u": scale("u"), "v": scale("v")}).select(vertices.columns)
+    return vertices.withColumns(_rescaled(vertices, ("u", "v")))
 
 
 def ortho_xz(vertices: DataFrame) -> DataFrame:
     """Texture coordinates from an orthographic projection along y; all normals become (0, 1, 0)."""
-    scale = lambda c: (F.col(c) - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}"))
-    new = {"u": scale("x"), "v": scale("z"), "nx": F.lit(0.0), "ny": F.lit(1.0), "nz": F.lit(0.0)}
-    return _spread(vertices, ("x", "z")).withColumns(new).select(vertices.columns)
+    at = _rescaled(vertices, ("x", "z"))
+    return vertices.withColumns({"u": at["x"], "v": at["z"], "nx": F.lit(0.0), "ny": F.lit(1.0), "nz": F.lit(0.0)})
 
 
 def wide(vertices: DataFrame, faces: DataFrame) -> DataFrame:

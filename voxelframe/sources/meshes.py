@@ -26,8 +26,9 @@ def read_obj(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     inside = F.row_number().over(Window.partitionBy("kind", "part").orderBy("at")) - 1
     rows = lines.withColumn("k", inside).join(F.broadcast(before), ["kind", "part"]).withColumn("i", F.col("k") + F.col("before"))
     rows = rows.withColumn("w", F.split("value", r"\s+"))
-    second = rows.where("kind = 'o' and i = 1").agg(F.min(F.struct("part", "at")).alias("stop"))
-    rows = rows.crossJoin(F.broadcast(second)).where("stop is null or struct(part, at) < stop")
+    second = rows.where("kind = 'o' and i = 1").select("part", "at").first()
+    if second:
+        rows = rows.where((F.col("part") < second["part"]) | ((F.col("part") == second["part"]) & (F.col("at") < second["at"])))
     number = lambda k: F.get(F.col("w"), F.lit(k)).cast("double")
     table = lambda kind, names: rows.where(F.col("kind") == kind).select("i", *[number(k + 1).alias(n) for k, n in enumerate(names)])
     triangle = F.when(F.size("w") == 4, True).otherwise(F.raise_error(F.concat(F.lit("not a triangle: "), F.col("value"))).cast("boolean"))
