@@ -25,3 +25,11 @@ def test_windows_and_duplicates(spark):
     assert seen.groupBy().sum("n").first()[0] == table(spark, SF, "events").count()
     once = run(spark, arrivals.deduplicated(arrivals.arrivals(stream(spark)), "3650 days"), "once", "append")
     assert once.count() == arrivals.arrivals(table(spark, SF, "events")).select("cx", "cy", "cz", "state").distinct().count()
+
+
+def test_tracked_states_follow_the_reports(spark):
+    q = arrivals.tracked(arrivals.arrivals(stream(spark)), None).writeStream.format("memory").queryName("tracked").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.cx, r.cy, r.cz): (r.state, r.n_reports) for r in spark.table("tracked").collect()}
+    want = {(r.cx, r.cy, r.cz): (r.state, r.n_reports) for r in arrivals.latest(arrivals.arrivals(table(spark, SF, "events"))).collect()}
+    assert got == want

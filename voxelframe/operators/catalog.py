@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 #: The catalogue's records.
 SEGMENT_DDL = (
@@ -16,10 +18,27 @@ REGISTRY_DDL = "id STRING, label STRING, format STRING, location_kind STRING, lo
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of segment records, or one record a line; compressed as Spark knows it by the file's name."""
+    """A JSON list of segment records; a file ending in .zst is a Zstandard buffer."""
+    if path.endswith(".zst"):
+        from ..sources.codecs import zstd_decode
+
+        def unpack(col: pa.Array) -> pa.Array:
+            return pa.array([zstd_decode(b).decode() for b in col.to_pylist()], pa.string())
+
+        text = spark.read.format("binaryFile").load(path).select(arrow_udf(unpack, "string")(F.col("content")).alias("value"))
+        return text.select(F.explode(F.from_json("value", f"array<struct<{SEGMENT_DDL}>>")).alias("s")).select("s.*")
     return spark.read.schema(SEGMENT_DDL).option("multiLine", True).json(path)
 
 
+def flat(records: DataFrame) -> DataFrame:
+    """Catalogue records as (segment_id, scroll_id, num, is_fragment, width, height, area, obj_url, volume_id, base_url); without a volume a segment can't be opened."""
+    return records.select(F.col("id").alias("segment_id"), F.col("scroll.id").alias("scroll_id"), F.col("scroll.num").alias("num"), F.col("scroll.isFragment").alias("is_fragment"), "width", "height", F.col("areaCm2").alias("area"), F.col("urls.objUrl").alias("obj_url"), F.col("volume.volume").alias("volume_id"), F.col("volume.baseUrl").alias("base_url"))
+
+
+def openable(segments: DataFrame) -> DataFrame:
+    return segments.where("volume_id is not null")
+
+
 def by_scroll(segments: DataFrame) -> DataFrame:
     """(scroll_id, is_fragment, num, segments): each scroll's segment ids in order, as one row."""
     return segments.groupBy("scroll_id", "is_fragment", "num").agg(F.sort_array(F.collect_list("segment_id")).alias("segments"))

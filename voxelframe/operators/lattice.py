@@ -57,3 +57,9 @@ def write_dense(voxels: DataFrame, path: str, partitions: int | None = None) ->
 
 def write_points(cloud: DataFrame, path: str) -> None:
     cloud.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def write_components(components: DataFrame, path: str, small: int) -> None:
+    """The voxels of each component of more than `small` voxels in a folder of its own."""
+    large = component_sizes(components, small).select("component")
+    components.join(large, "component").select("component", "x", "y", "z").write.mode("overwrite").partitionBy("component").parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import align_down, align_up
 from ..functions.num import idiv, to_i32, to_index
 from .composite import Composite, composite
-from .sample import nearest, trilinear_sample
+from .sample import Volume, as_volume
 
 Affine = tuple[tuple[float, float, float, float], ...]
 
@@ -226,7 +226,7 @@ def offset(rows: DataFrame, w: Column) -> DataFrame:
     return rows.withColumns({f"p{c}": F.col(c) + w * F.col(f"n{c}") for c in "xyz"})
 
 
-def render(triangles: DataFrame, voxels: DataFrame, surface: Surface, window: Window2D, grid: Grid, how: Composite | None = None, trilinear: bool = False) -> DataFrame:
+def render(triangles: DataFrame, volume: Volume | DataFrame, surface: Surface, window: Window2D, grid: Grid, how: Composite | None = None, trilinear: bool = False) -> DataFrame:
     """(px, py, v): the surface painted with the volume's values, at the window's layer or composited along the normal.
 
     Only the fragments that stay visible are sampled: each pixel's value depends on its last face alone.
@@ -234,7 +234,7 @@ def render(triangles: DataFrame, voxels: DataFrame, surface: Surface, window: Wi
     top = top_pixels(raster(triangles, surface, window, grid)).withColumn("pixel", F.col("py") * window.width + F.col("px"))
     layer = window.centre[2]
     top = top.withColumnsRenamed({"px": "at_x", "py": "at_y"})
-    sample = lambda p, key: trilinear_sample(p, voxels, key) if trilinear else nearest(p, voxels)
+    sample = as_volume(volume).trilinear if trilinear else as_volume(volume).nearest
     if how is None:
         points = offset(top, F.lit(float(layer))) if layer else top.withColumns({f"p{c}": F.col(c) for c in "xyz"})
         return sample(points.select("pixel", "at_x", "at_y", "px", "py", "pz"), "pixel").select(F.col("at_x").alias("px"), F.col("at_y").alias("py"), "v")
@@ -279,8 +279,11 @@ def last_request(rows: DataFrame, by: str, order: str, cols: list[str]) -> DataF
     return rows.withColumn("_same", same & (F.row_number().over(w) > 1)).where("not _same").drop("_same")
 
 
-def render_layers(triangles: DataFrame, voxels: DataFrame, surface: Surface, window: Window2D, grid: Grid, layers: list[int]) -> DataFrame:
+def render_layers(triangles: DataFrame, volume: Volume | DataFrame, surface: Surface, window: Window2D, grid: Grid, layers: list[int], trilinear: bool = False) -> DataFrame:
     """(w, px, py, v): one painted image for each layer; the mesh is rasterised once for all of them."""
     top = top_pixels(raster(triangles, surface, window, grid)).withColumnsRenamed({"px": "at_x", "py": "at_y"})
     rays = offset(top.withColumn("w", F.explode(F.array(*map(F.lit, layers)))), F.col("w").cast("double"))
-    return nearest(rays.select("w", "at_x", "at_y", "px", "py", "pz"), voxels).select("w", F.col("at_x").alias("px"), F.col("at_y").alias("py"), "v")
+    key = F.struct("w", "pixel").alias("sample") if trilinear else F.lit(0).alias("sample")
+    points = rays.withColumn("pixel", F.col("at_y") * window.width + F.col("at_x")).select(key, "w", "at_x", "at_y", "px", "py", "pz")
+    sample = as_volume(volume).trilinear if trilinear else as_volume(volume).nearest
+    return sample(points, "sample").select("w", F.col("at_x").alias("px"), F.col("at_y").alias("py"), "v")

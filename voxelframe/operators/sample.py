@@ -7,6 +7,8 @@ Spark finds it small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,3 +120,53 @@ def trilinear_pyramid(points: DataFrame, levels: DataFrame, key: str, finest: in
         part.append(p - F.floor(p))
     v = to_u8(trilinear([F.col(f"c{k}").cast("double") for k in range(8)], *part))
     return out.withColumn("v", F.coalesce(v, F.lit(0))).drop("level", *[f"c{k}" for k in range(8)])
+
+
+@dataclass(frozen=True)
+class Voxels:
+    """A volume as rows (x, y, z, v)."""
+
+    rows: DataFrame
+
+    def nearest(self, points: DataFrame, key: str) -> DataFrame:
+        return nearest(points, self.rows)
+
+    def trilinear(self, points: DataFrame, key: str) -> DataFrame:
+        return trilinear_sample(points, self.rows, key)
+
+
+@dataclass(frozen=True)
+class Chunks:
+    """A volume as chunks (cx, cy, cz, data) of `edge` voxels, x fastest."""
+
+    rows: DataFrame
+    edge: int
+
+    def nearest(self, points: DataFrame, key: str) -> DataFrame:
+        return nearest_in_chunks(points, self.rows, self.edge)
+
+    def trilinear(self, points: DataFrame, key: str) -> DataFrame:
+        return trilinear_in_chunks(points, self.rows, key, self.edge)
+
+
+@dataclass(frozen=True)
+class Pyramid:
+    """A volume as voxels of several levels (level, x, y, z, v), the finest that knows a voxel first."""
+
+    rows: DataFrame
+    finest: int = 0
+    coarsest: int = 3
+
+    def nearest(self, points: DataFrame, key: str) -> DataFrame:
+        return nearest_pyramid(points, self.rows, key, self.finest, self.coarsest)
+
+    def trilinear(self, points: DataFrame, key: str) -> DataFrame:
+        return trilinear_pyramid(points, self.rows, key, self.finest, self.coarsest)
+
+
+Volume = Voxels | Chunks | Pyramid
+
+
+def as_volume(volume: Volume | DataFrame) -> Volume:
+    """A plain table of voxels counts as `Voxels`."""
+    return Voxels(volume) if isinstance(volume, DataFrame) else volume

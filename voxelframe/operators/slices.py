@@ -81,3 +81,29 @@ def tile_rects(tiles: DataFrame, width: int, height: int) -> DataFrame:
 def tile_centre(tile: str, zoom: str) -> Column:
     """The world coordinate of a tile's middle."""
     return to_i32((F.col(tile) + 0.5) * TILE * paint_zoom(F.col(zoom)))
+
+
+#: The least and largest zoom of a view.
+ZOOM_LIMITS = (0.025, 8.0)
+
+
+def scrolled(coord: tuple[int, int, int], pane: str, direction: float, zoom: float, ranges: tuple[tuple[int, int], ...]) -> tuple[int, int, int]:
+    """A view's centre one step along its plane's axis: steps are as wide as the level shown, and snap to it."""
+    axis, step = PANES[pane][2], 1 << min(int(1.0 / zoom), 6)
+    moved = coord[axis] + (step if direction > 0 else -step)
+    snapped = int(moved / step) * step
+    out = list(coord)
+    out[axis] = min(max(snapped, ranges[axis][0]), ranges[axis][1])
+    return tuple(out)
+
+
+def dragged(coord: tuple[int, int, int], pane: str, dx: float, dy: float, zoom: float, ranges: tuple[tuple[int, int], ...]) -> tuple[int, int, int]:
+    """A view's centre after a drag by screen pixels."""
+    out = list(coord)
+    for axis, delta in zip(PANES[pane][:2], (dx, dy), strict=True):
+        out[axis] = min(max(coord[axis] + int(-delta / zoom), ranges[axis][0]), ranges[axis][1])
+    return tuple(out)
+
+
+def zoomed(zoom: float, factor: float) -> float:
+    return min(max(zoom * factor, ZOOM_LIMITS[0]), ZOOM_LIMITS[1])

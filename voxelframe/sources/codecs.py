@@ -63,6 +63,14 @@ def blosc_encode(data: bytes, blocksize: int = 1 << 17, codec: str = "lz4_raw")
     return head + struct.pack(f"<{len(blocks)}I", *offsets) + b"".join(struct.pack("<I", len(b)) + b for b in blocks)
 
 
+def zstd_decode(data: bytes) -> bytes:
+    """A whole Zstandard buffer, of one frame or several."""
+    import zstandard
+
+    with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as stream:
+        return stream.read()
+
+
 #: TIFF tags.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, PLANAR = 256, 257, 258, 259, 273, 277, 279, 284
 _SIZES = {1: "B", 3: "H", 4: "I"}

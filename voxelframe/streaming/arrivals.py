@@ -59,3 +59,36 @@ def run_available(spark: SparkSession, source: str, schema, work: Tables) -> Dat
     query.awaitTermination()
     seen = spark.read.parquet(top)
     return seen.groupBy("cx", "cy", "cz").agg(F.max("l").alias("l"), F.sum("n").alias("n_reports")).select("cx", "cy", "cz", F.col("l.state").alias("state"), "n_reports")
+
+
+#: Fixed value: seconds after which a delayed chunk is asked for again.
+RETRY_SECONDS = 10
+
+
+def tracked(reports: DataFrame, retry: int | None = RETRY_SECONDS) -> DataFrame:
+    """(cx, cy, cz, state, n_reports) of a stream, in update mode: a chunk to reload becomes Missing after `retry` seconds.
+
+    State is two values for each chunk; the timer is the stream's processing time, so a run over available data
+    takes no timer (None).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def follow(key, batches, state):
+        if state.hasTimedOut:
+            now, n = "Missing", state.get[1]
+        else:
+            now, n = state.get if state.exists else ("Missing", 0)
+            last = None
+            for batch in batches:
+                n += len(batch)
+                top = batch.sort_values(["ts", "state"]).iloc[-1]
+                if last is None or (top.ts, top.state) > last:
+                    last, now = (top.ts, top.state), top.state
+        state.update((now, n))
+        if retry is not None and now in RELOAD:
+            state.setTimeoutDuration(retry * 1000)
+        yield pd.DataFrame({"cx": [key[0]], "cy": [key[1]], "cz": [key[2]], "state": [now], "n_reports": [n]})
+
+    out = "cx bigint, cy bigint, cz bigint, state string, n_reports bigint"
+    return reports.groupBy("cx", "cy", "cz").applyInPandasWithState(follow, out, "state string, n bigint", "update", GroupStateTimeout.NoTimeout if retry is None else GroupStateTimeout.ProcessingTimeTimeout)
