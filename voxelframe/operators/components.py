@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..plans.tables import Tables
 
 
-def _lowest(edges: DataFrame, tables: Tables) -> DataFrame:
-    """edges (a, b) with the least b of each a as `low`.
+def _lowest(edges: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """edges (a, b) with the least b of each a as `low`, and the written table of minima.
 
     The minima are written first: the join then shuffles both sides by itself, so that adaptive execution can split
     a node with very many edges.
     """
     low = tables.cut(edges.groupBy("a").agg(F.min("b").alias("low")))
-    return edges.join(low, "a")
+    return edges.join(low, "a"), low
 
 
 def connected_components(edges: DataFrame, tables: Tables, rounds: int = 64) -> DataFrame:
@@ -34,10 +34,13 @@ def connected_components(edges: DataFrame, tables: Tables, rounds: int = 64) ->
             break
         mark = (found.n, found["sum"])
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
-        large = _lowest(both, tables).where(b > a).select(b.alias("a"), F.least("a", "low").alias("b")).distinct()
-        large = tables.cut(large)
-        near = _lowest(large, tables)
-        now = tables.cut(near.select(b.alias("a"), F.col("low").alias("b")).where(a != b).unionByName(near.select("a", F.col("low").alias("b"))).distinct())
+        far, low = _lowest(both, tables)
+        large = tables.cut(far.where(b > a).select(b.alias("a"), F.least("a", "low").alias("b")).distinct())
+        near, low_near = _lowest(large, tables)
+        new = tables.cut(near.select(b.alias("a"), F.col("low").alias("b")).where(a != b).unionByName(near.select("a", F.col("low").alias("b"))).distinct())
+        for read in (now, low, large, low_near):  # the new edges are written: nothing reads these again
+            tables.drop(read)
+        now = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     named = now.select(a.alias("node"), b.alias("root")).unionByName(now.select(b.alias("node"), b.alias("root"))).unionByName(loops)
