@@ -171,6 +171,24 @@ def _roots(links: np.ndarray, keys: list[bytes]) -> list[bytes]:
         rank = new
 
 
+FILTER_WORDS = 1 << 20
+
+
+def _maybe(rows: DataFrame, keys: DataFrame, tables: Tables) -> DataFrame:
+    """`rows` (with a column ngram_row) marked ngram_maybe: false only if their hash is surely not among `keys` (row).
+
+    A bit table of at most FILTER_WORDS rows of 64 bits, whatever the size of `keys`, so it may be broadcast.  When
+    it fills up, more rows pass as "maybe"; the exact join behind it decides.
+    """
+    word = lambda c: F.shiftright(c, 6).bitwiseAND(FILTER_WORDS - 1)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(63).cast("int"))
+    k = F.col("row")
+    bits = tables.cut(keys.select(word(k).alias("ngram_word"), bit(k).alias("b")).groupBy("ngram_word").agg(F.bit_or("b").alias("ngram_bits")))
+    r = F.col("ngram_row")
+    hit = F.coalesce(F.col("ngram_bits").bitwiseAND(bit(r)) != 0, F.lit(False))
+    return rows.withColumn("ngram_word", word(r)).join(F.broadcast(bits), "ngram_word", "left").withColumn("ngram_maybe", hit).drop("ngram_word", "ngram_bits")
+
+
 VERIFIED = "key binary, root binary, links bigint, parts int"
 
 
@@ -211,7 +229,7 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, row, key), and classes (key, root, copy_id, links, copies, row): root and links as found, row one row of the class."""
+    """Rows (id, row, key, bands) as written, and classes (key, root, copy_id, links, copies, row): root and links as found, row one row of the class."""
     text = F.col(f"`{text_col}`")
     sign = arrow_udf(lambda col: signatures(col, join), "key binary, bands array<bigint>").asNondeterministic()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), sign(text).alias("s")).select("id", "row", "s.key", "s.bands")
@@ -221,8 +239,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join, tables: Ta
     # candidate groups
     spread = classes.select("key", F.explode("bands").alias("bucket"))
     buckets = tables.cut(spread.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"))
-    edges = spread.join(buckets, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    edges = tables.cut(spread.join(buckets, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
     groups = tables.cut(connected_components(edges, tables).select(F.col("node").alias("key"), F.col("root").alias("group")))
+    for read in (buckets, edges):
+        tables.drop(read)
     # their n-gram sets, dealt by group and pair of blocks
     sizes = groups.groupBy("group").agg(F.count("*").alias("n")).select("group", F.ceil(F.col("n") / join.block).cast("int").alias("parts"))
     sizes = tables.cut(sizes)
@@ -230,7 +250,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join, tables: Ta
     light = classes.select("key", "row", "copies").join(groups, "key").join(sizes, "group").select("group", "parts", "key", "row", "copies")
     light = tables.cut(light)
     grams = arrow_udf(lambda keys, col: _sets_if(keys, col, join), "array<bigint>").asNondeterministic()
-    wanted = docs.select(row_key(id_col, text_col).alias("row"), text.alias("text")).join(light, "row")
+    # only texts that may be wanted are shuffled
+    wanted = _maybe(docs.select(row_key(id_col, text_col).alias("ngram_row"), text.alias("text")), light.select("row"), tables).where("ngram_maybe")
+    wanted = wanted.select(F.col("ngram_row").alias("row"), "text").join(light, "row")
     sets = wanted.select("group", "parts", "key", "copies", grams(F.col("key"), F.col("text")).alias("grams")).where(F.col("grams").isNotNull())
     block = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -240,6 +262,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join, tables: Ta
     verified = sets.withColumn("lot", lot).select("lot", "group", "parts", "left", "right", "block", "key", "copies", "grams")
     verified = verified.withColumn("group", F.concat("group", F.encode(F.concat_ws(":", F.lit(""), "left", "right"), "utf-8")))
     checked = tables.cut(verified.groupBy("lot").applyInArrow(_verify(join.similarity), VERIFIED))
+    for read in (groups, sizes, light):
+        tables.drop(read)
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
     whole = checked.where("parts = 1").select("key", "root")
     split = checked.where("parts > 1").select(F.col("key").alias("a"), F.col("root").alias("b"))
@@ -248,7 +272,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join, tables: Ta
     known = tables.cut(whole.join(links, "key"))
     done = classes.select("key", "copy_id", "row", "copies").join(known, "key", "left")
     done = done.select("key", F.coalesce("root", "key").alias("root"), "copy_id", "copies", "row", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.select("id", "row", "key"), tables.cut(done)
+    done = tables.cut(done)
+    for read in (classes, checked, known):
+        tables.drop(read)
+    return rows, done
 
 
 def _sets_if(keys: pa.Array, col: pa.Array, join: Join) -> pa.Array:
@@ -266,14 +293,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, classes = _classes(docs, id_col, text_col, join, tables)
     linked = classes.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = tables.cut(classes.join(linked, "root").select("key", "class_id", "copy_id", "n_links"))
-    return rows.join(named, "key").select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links")
+    return rows.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """The rows of `docs` but for near duplicates: of each connected group the row with the least id stays, one if it is repeated."""
     tables = Tables(docs.sparkSession)
-    _, classes = _classes(docs, id_col, text_col, join, tables)
+    rows, classes = _classes(docs, id_col, text_col, join, tables)
     first = F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "row"))
-    winners = tables.cut(classes.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("ngram_row")))
-    kept = docs.withColumn("ngram_row", row_key(id_col, text_col)).join(winners, "ngram_row", "left_semi")
-    return kept.dropDuplicates(["ngram_row"]).drop("ngram_row")
+    groups = tables.cut(classes.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("n")))
+    winners = groups.select(F.col("first.row").alias("ngram_row"))
+    # rows of groups of one stay where they are; only the others' texts meet the winners' hashes
+    shared = classes.join(groups.where("n > 1").select("root"), "root").select("key")
+    marked = _maybe(docs.withColumn("ngram_row", row_key(id_col, text_col)), rows.select("row", "key").join(shared, "key"), tables)
+    for read in (rows, classes):
+        tables.drop(read)
+    kept = marked.where("ngram_maybe").join(winners, "ngram_row", "left_semi").dropDuplicates(["ngram_row"])
+    return marked.where("not ngram_maybe").unionByName(kept).drop("ngram_row", "ngram_maybe")
