@@ -27,14 +27,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import bytetext as bt
 
 DEFAULT_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 300_000
-SLICE_BYTES = 4 << 20
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 200_000
+SLICE_BYTES = 2 << 20
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Contractions are pieces of their own.
@@ -315,10 +316,44 @@ def text_of(ids: Column, path: str = DEFAULT_VOCAB) -> Column:
     return arrow_udf(f, "string").asNondeterministic()(ids)
 
 
-def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = DEFAULT_VOCAB) -> DataFrame:
-    """`docs` with its texts' token ids in `ids_col`."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() != ids_col.lower()]
-    return docs.select(*own, ids_of(F.col(f"`{text_col}`"), path).alias(ids_col))
+def _in_slices(docs: DataFrame, text_col: str, keep: list[str], fields: list[T.StructField], make, path: str) -> DataFrame:
+    """`keep` and new columns that `make` gives for a vocabulary and texts, a slice of each Arrow batch at a time.
+
+    So neither side holds more than a slice of ids and texts besides the batch that was read.
+    """
+    names = [*keep, *[f.name for f in fields]]
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *fields])
+
+    def run(batches):
+        v = vocab(path)
+        for batch in batches:
+            for i, j in bt.slices(bt.flatten(batch.column(len(keep)))[1], SLICE_BYTES):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *make(v, part.column(len(keep)))], names)
+
+    mark = "bpe_text"
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(mark)).mapInArrow(run, schema)
+
+
+def _kept(docs: DataFrame, keep: list[str] | None, new: tuple[str, ...]) -> list[str]:
+    return [c for c in (docs.columns if keep is None else keep) if c.lower() not in {n.lower() for n in new}]
+
+
+def encode_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = DEFAULT_VOCAB, keep: list[str] | None = None) -> DataFrame:
+    """`docs` (or its columns `keep`) with its texts' token ids in `ids_col`."""
+    field = T.StructField(ids_col, T.ArrayType(T.IntegerType()))
+    return _in_slices(docs, text_col, _kept(docs, keep, (ids_col,)), [field], lambda v, col: [v.encode(col)], path)
+
+
+def round_trip_documents(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", path: str = DEFAULT_VOCAB, keep: list[str] | None = None) -> DataFrame:
+    """`encode_documents`, then `decode_documents`, with one pass through Python."""
+
+    def both(v: Vocab, col: pa.Array) -> list[pa.Array]:
+        ids = v.encode(col)
+        return [ids, v.decode(ids)]
+
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())]
+    return _in_slices(docs, text_col, _kept(docs, keep, (ids_col, decoded_col)), fields, both, path)
 
 
 def decode_documents(docs: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", path: str = DEFAULT_VOCAB) -> DataFrame:
