@@ -170,6 +170,8 @@ def test_mix_order_and_odd(spark, odd):
     position = planned.select(F.explode("positions").alias("p"))
     assert abs(rows.count() - position.count()) <= odd.select("source").distinct().count()
     assert source_mix.plan(odd.where("false")).count() == 0
+    named = source_mix.plan(odd, prefix="m_")
+    assert {r["size"] for r in source_mix.training_order(named, odd.columns, prefix="m_").collect()} == {7}
 
 
 def test_mix_training_order_is_sorted(spark):

@@ -205,3 +205,15 @@ def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "t
     turn = F.struct(F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("content"))
     grouped = rows.select(F.col(f"`{id_col}`").alias(id_col), turn.alias("t")).groupBy(id_col).agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return grouped.select(id_col, F.to_json(F.struct(F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.content.alias("content"))).alias("messages"))).alias("record"))
+
+
+def sql(odd_text: str, table: str = "conversations") -> str:
+    """For DuckDB, what reading back the formatted conversations must give, and how long they are."""
+    odd = "'" + odd_text.replace("'", "''") + "'"
+    return f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM {table}
+   UNION ALL SELECT -7, 0, 'user', {odd} UNION ALL SELECT -7, 1, 'assistant', {odd}),
+ chats AS (SELECT conv_id, count(*) AS n_turns, string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text) AS said,
+   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role='assistant'), '') AS loss,
+   sum(13+length(regexp_replace(role, '[\\\\#<\\n]', 'xx', 'g'))+length(regexp_replace(text, '[\\\\#<]', 'xx', 'g')))::bigint AS formatted_chars FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::bigint AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM chats"""

@@ -310,3 +310,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jo
         tables.drop(read)
     kept = marked.where("ngram_maybe").join(winners, "ngram_row", "left_semi").dropDuplicates(["ngram_row"])
     return marked.where("not ngram_maybe").unionByName(kept).drop("ngram_row", "ngram_maybe")
+
+
+def sql(table: str = "documents") -> str:
+    """`near_duplicates` with five words and a similarity of 0.8 for DuckDB."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS w FROM {table}),
+ copies AS (SELECT w, min(doc_id) AS copy_id, count(*) AS n FROM d GROUP BY w),
+ grams AS (SELECT DISTINCT copy_id, unnest(CASE WHEN len(w)=0 THEN []::varchar[] WHEN len(w)<5 THEN [array_to_string(w,' ')] ELSE list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' ')) END) AS g FROM copies),
+ sizes AS (SELECT copy_id, count(*) AS n FROM grams GROUP BY copy_id),
+ pairs AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS n FROM grams a JOIN grams b USING (g) WHERE a.copy_id<>b.copy_id GROUP BY ALL),
+ links AS (SELECT a, b FROM pairs p JOIN sizes x ON x.copy_id=a JOIN sizes y ON y.copy_id=b WHERE 5*p.n>=4*(x.n+y.n-p.n)),
+ walk AS (SELECT copy_id AS root, copy_id AS node FROM copies UNION SELECT root, b FROM walk JOIN links ON a=node),
+ classes AS (SELECT node, min(root) AS class_id FROM walk GROUP BY node),
+ others AS (SELECT a, sum(c.n) AS n FROM links JOIN copies c ON c.copy_id=b GROUP BY a)
+SELECT d.doc_id, class_id, copy_id, (c.n-1+coalesce(o.n,0))::bigint AS n_links FROM d JOIN copies c ON c.w=d.w JOIN classes ON node=copy_id LEFT JOIN others o ON o.a=copy_id"""

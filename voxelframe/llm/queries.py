@@ -22,7 +22,8 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return source_mix.plan(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    first = F.round(F.get("positions", F.lit(0)), 9)
+    return source_mix.plan(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("n_passes"), first.alias("first_position"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +78,15 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, F.col("id") % 20 == 0, integer=True)
 
 
+VECTOR_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::double*64)) AS x FROM embeddings),
+ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint AS score FROM v q JOIN v c ON q.vec_id%20=0 AND q.vec_id<>c.vec_id)
+SELECT query_id, rank::int AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_license_scan": license_scan.sql()}
+    return {"op2_source_mix": source_mix.sql(), "op3_ngram_join": ngram_join.sql(), "op8_license_scan": license_scan.sql(), "op9_chat_format": chat_format.sql(ODD_TEXT), "op10_vector_search": VECTOR_SQL}

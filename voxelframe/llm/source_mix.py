@@ -82,18 +82,21 @@ def _invert(share: Column, begin: Column, end: Column) -> Column:
     return F.when(share <= 0, 0.0).otherwise(F.least(F.lit(1.0), 2 * share / (begin + root)))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix()) -> DataFrame:
-    """`docs` with size, source_size, target, taken, and positions: the training time of each pass through the document."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in NAMES]
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", mix: Mix = Mix(), prefix: str = "") -> DataFrame:
+    """`docs` with size, source_size, target, taken, and positions: the training time of each pass through the document.
+
+    With a `prefix`, the new columns' names begin with it.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {f"{prefix}{n}".lower() for n in NAMES}]
+    key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     name = F.col(f"`{source_col}`").cast("string")
     source = F.concat(F.when(name.isNull(), "1").otherwise("0"), F.coalesce(name, F.lit("")))  # never null; null sources come last
     n = docs.count()
     side = max(4, math.ceil(math.sqrt(max(1, n) / mix.rows_per_bucket)))  # side * side buckets in each source
-    sized = docs.select(*own, source.alias("mix_source"), size_of(F.col(f"`{text_col}`")).alias("size"), key.alias("mix_key"))
-    sized = sized.withColumn("mix_low", F.pmod("mix_key", F.lit(side * side)))
+    sized = docs.select(*own, source.alias("mix_source"), size_of(F.col(f"`{text_col}`")).alias("mix_size"), key.alias("mix_key"))
+    sized = sized.withColumn("mix_low", F.conv(F.substring("mix_key", 1, 12), 16, 10).cast("bigint") % (side * side))
     # one row for each source and bucket: small, and read three times below
-    sums = Tables(docs.sparkSession).cut(sized.groupBy("mix_source", "mix_low").agg(F.sum("size").alias("words"))).withColumn("mix_high", F.floor(F.col("mix_low") / side))
+    sums = Tables(docs.sparkSession).cut(sized.groupBy("mix_source", "mix_low").agg(F.sum("mix_size").alias("words"))).withColumn("mix_high", F.floor(F.col("mix_low") / side))
     high = sums.groupBy("mix_source", "mix_high").agg(F.sum("words").alias("words"))
     w_high = Window.partitionBy("mix_source").orderBy("mix_high").rowsBetween(Window.unboundedPreceding, -1)
     w_low = Window.partitionBy("mix_source", "mix_high").orderBy("mix_low").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,12 +105,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     places = second.join(first, ["mix_source", "mix_high"]).select("mix_source", "mix_low", (F.col("high_before") + F.col("low_before")).alias("mix_bucket_before"))
     goal = targets(sums.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size")), mix)
     begin, end = (_cycle(F.col("rank"), [s[i] for s in mix.schedules]) for i in (0, 1))
-    places = places.join(goal.select(F.col("source").alias("mix_source"), "source_size", "target", begin.alias("mix_begin"), end.alias("mix_end")), "mix_source")
-    inside = Window.partitionBy("mix_source", "mix_low").orderBy("mix_key", F.col(f"`{id_col}`"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("mix_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    places = places.join(goal.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_total"), F.col("target").alias("mix_target"), begin.alias("mix_begin"), end.alias("mix_end")), "mix_source")
+    inside = Window.partitionBy("mix_source", "mix_low").orderBy("mix_key", F.col(f"`{id_col}`"), "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("mix_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
     joined = placed.join(places, ["mix_source", "mix_low"])
     at = F.col("mix_bucket_before") + F.col("mix_inside")
-    size, total, target = F.col("size"), F.col("source_size"), F.round("target").cast("long")
+    size, total, target = F.col("mix_size"), F.col("mix_total"), F.round("mix_target").cast("long")
     passes = F.when(total > 0, F.floor(target / total)).otherwise(F.lit(0)).cast("long")
     rest = target - passes * total
     part = F.greatest(F.lit(0), F.least(size, rest - at))
@@ -115,20 +118,46 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     times = (passes + F.when(part > 0, 1).otherwise(0)).cast("int")
     spot = lambda k: _invert((k * total + at).cast("double") / F.greatest(target, F.lit(1)), F.col("mix_begin"), F.col("mix_end"))
     positions = F.when((size > 0) & (times > 0), F.transform(F.sequence(F.lit(0), times - 1), spot)).otherwise(F.array().cast("array<double>"))
-    return joined.select(*own, size, total, F.col("target"), taken.cast("long").alias("taken"), positions.alias("positions"))
+    new = (size, total, F.col("mix_target"), taken.cast("long"), positions)
+    return joined.select(*own, *[c.alias(f"{prefix}{n}") for c, n in zip(new, NAMES, strict=True)])
 
 
-def training_order(planned: DataFrame, columns: list[str], least_part: float = 0.5, partitions: int | None = None) -> DataFrame:
+def training_order(planned: DataFrame, columns: list[str], least_part: float = 0.5, partitions: int | None = None, prefix: str = "") -> DataFrame:
     """A row for each pass of each planned document, range-sorted by training position; whole texts.
 
     The pass that the border cuts stays if at least `least_part` of the document is taken in it.  Ties go by the
     remaining columns' hash.
     """
-    k = F.size("positions")
-    last = F.col("taken") - (k - 1) * F.col("size")
-    kept = F.when((k > 0) & (last < least_part * F.col("size")), F.slice("positions", 1, k - 1)).otherwise(F.col("positions"))
+    size, taken, positions = (F.col(f"{prefix}{n}") for n in ("size", "taken", "positions"))
+    k = F.size(positions)
+    last = taken - (k - 1) * size
+    kept = F.when((k > 0) & (last < least_part * size), F.slice(positions, 1, k - 1)).otherwise(positions)
     own = [F.col(f"`{c}`") for c in columns]
     rows = planned.select(*own, F.explode(kept).alias("mix_position"))
     order = [F.col("mix_position"), F.xxhash64(*own)]
     dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
     return dealt.sortWithinPartitions(*order).select(*own)
+
+
+def sql(mix: Mix = Mix(), table: str = "documents") -> str:
+    """doc_id, size, source_size, target, taken, n_passes and first_position for DuckDB."""
+    pick = lambda values, by: f"[{', '.join(f'{float(v)}::double' for v in values)}][{by}%{len(values)}+1]"
+    begin, end = (pick([s[i] for s in mix.schedules], "rank") for i in (0, 1))
+    share = "(place::double/greatest(goal,1))"
+    spot = f"CASE WHEN {share}<=0 THEN 0.0 ELSE least(1.0, 2*{share}/(d0+sqrt(greatest(d0*d0+2*(d1-d0)*{share},0.0)))) END"
+    return f"""
+WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS size,
+   md5(coalesce(doc_id::varchar,'')||':'||coalesce(text,'')) AS key FROM {table}),
+ side AS (SELECT greatest(4, ceil(sqrt(greatest(1,count(*))/{mix.rows_per_bucket}.0::double)))::bigint AS s FROM docs),
+ total AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST)-1 AS rank FROM docs GROUP BY source),
+ weighed AS (SELECT *, {pick(mix.weights, "rank")} AS weight, source_size*{float(mix.most)}::double AS cap FROM total),
+ run AS (SELECT *, (sum(source_size) OVER ()-coalesce(sum(cap) OVER w,0))/(sum(weight) OVER ()-coalesce(sum(weight) OVER w,0)) AS unit
+   FROM weighed WINDOW w AS (ORDER BY cap/weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ level AS (SELECT min_by(unit, (cap/weight, rank)) FILTER (cap/weight >= unit) AS u FROM run),
+ goals AS (SELECT source, source_size, rank, CASE WHEN u IS NULL THEN cap ELSE least(cap, u*weight) END AS target FROM run, level),
+ placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY ('0x'||substr(key,1,12))::bigint%(SELECT s*s FROM side), key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::bigint AS place FROM docs),
+ both_ AS (SELECT p.*, g.source_size, g.target, round(g.target)::bigint AS goal, {begin} AS d0, {end} AS d1 FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source),
+ parts AS (SELECT *, CASE WHEN source_size>0 THEN goal//source_size ELSE 0 END AS passes FROM both_),
+ taken AS (SELECT *, greatest(0, least(size, goal-passes*source_size-place)) AS part FROM parts)
+SELECT doc_id, size::bigint AS size, source_size, target, (passes*size+part)::bigint AS taken, CASE WHEN size>0 THEN passes+(part>0)::int ELSE 0 END::bigint AS n_passes,
+  CASE WHEN size>0 AND passes+(part>0)::int>0 THEN round({spot}, 9) END AS first_position FROM taken"""
