@@ -33,12 +33,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for, in training order."""
-    return source_mix.training_order(source_mix.plan(docs), docs.columns)
+    return source_mix.training_order(source_mix.plan(docs, prefix="mixed_"), docs.columns, prefix="mixed_")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the whole texts."""
-    done = bpe.encode_documents(docs.select("doc_id", "source", "text"))
+    done = bpe.encode_documents(docs, keep=["doc_id", "source"])
     return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
