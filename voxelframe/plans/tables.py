@@ -1,9 +1,11 @@
-"""Cutting lineage with tables in the folder that all executors share."""
+"""Cutting lineage with tables in the folder that all executors share, and sending this package to the executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,19 @@ def folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each context, so that their Python finds it wherever they run."""
+    context, top = spark.sparkContext, Path(__file__).parents[1]
+    if getattr(context, "_voxelframe_sent", False) or not top.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="package-")) / f"voxelframe-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(path))
+    context._voxelframe_sent = True
+
+
 class Tables:
     """Written tables of one query. `drop` removes those that nothing reads any more."""
 

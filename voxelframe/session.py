@@ -11,6 +11,7 @@ from .operators import catalog, mesh
 from .operators.composite import Composite
 from .operators.sample import Chunks, Pyramid, Volume, Voxels
 from .plans.demand import Render
+from .plans.tables import ship
 from .sources import meshes, sinks, volumes
 
 EDGES = {"tiles": 64, "cells": 500}
@@ -37,6 +38,7 @@ class Session:
     """`volumes`: registered volumes (`catalog.REGISTRY_DDL`); `segments`: a flat catalogue (`catalog.flat`)."""
 
     def __init__(self, spark: SparkSession, volumes: DataFrame | None = None, segments: DataFrame | None = None) -> None:
+        ship(spark)
         self.spark, self.volumes, self.segments = spark, volumes, segments
 
     def list_volumes(self) -> list[str]:
