@@ -39,7 +39,7 @@ class Mix:
     most: float = 3.0
     #: Density at the begin and the end of training by rank of the source, repeating; each pair has the mean 1.
     schedules: tuple[tuple[float, float], ...] = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
-    rows_per_bucket: int = 4096
+    rows_per_bucket: int = 512
     source_rows: int = 1_000_000
 
 
