@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import ship
 from . import bpe, chat_format, html_extract, language_id, license_scan, ngram_join, quality_crf, quality_rules, source_mix, vector_search
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its session gets Arrow batches of 8 MB where they have their default size, for rows here are long texts."""
+    ship(spark)
+    if spark.conf.get(ARROW_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(ARROW_BYTES, "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
