@@ -495,6 +495,30 @@ def test_license_sql_on_odd(spark, odd, duck):
     assert sorted(map(str, map(tuple, license_scan.scan(odd.select("doc_id", "text")).drop("text").collect()))) == sorted(str(tuple(None if x != x else int(x) if isinstance(x, float) else x for x in r)) for r in want)
 
 
+def test_license_wrapped_files(spark):
+    """Hard-wrapped licences and headers, plain and as comments; empty lines and other words still end a sentence."""
+    import textwrap
+
+    known = lambda *names: [next(t for i, t in license_scan.SENTENCES if i == n) for n in names]
+    fill = lambda t, width, mark="": textwrap.fill(t, width, initial_indent=mark, subsequent_indent=mark, break_on_hyphens=False)
+    grant, condition, as_is = known("mit-grant", "mit-condition", "as-is")
+    bsd = known("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")
+    gpl = known("gpl-free")[0] + "\n\n" + known("gpl-hope")[0] + " without even the implied warranty of MERCHANTABILITY."
+    texts, want = [], []
+    for width in (40, 72, 80):
+        for mark, blank in (("", "\n"), (" * ", " *\n"), ("# ", "#\n"), ("// ", "//\n"), (";; ", ";;\n"), ("! ", "!\n"), ("dnl ", "dnl\n"), ("REM ", "REM\n")):
+            paragraphs = lambda parts: ("\n" + blank).join(fill(t, width, mark) for t in parts) + "\n"
+            texts += [paragraphs(["MIT License", "Copyright (c) 2020 A. Person", grant, condition, as_is + " IN NO EVENT SHALL THE AUTHORS BE LIABLE"])]
+            texts += [paragraphs(["Copyright 2020, all of us", bsd[0], *[f"{k}. {t}" for k, t in enumerate(bsd[1:], 1)]]), paragraphs(["Copyright", *bsd[:3]]), paragraphs(gpl.split("\n\n"))]
+            want += ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0"]
+    texts += [texts[0].replace("\n", "\r\n"), "All rights\n\nreserved.", "see: all rights\nreserved, or not", "we say all rights\nreserved.", "MIT License\nCopyright (c) 2020", "Licensed under the Apache License, Version 2.0\n(the \"License\"); more"]
+    want += ["MIT", "", "", "", "", ""]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.primary_license for r in got] == want
+    assert got[0].sentence_ids == "mit-title mit-grant mit-condition as-is" and got[-2].sentence_ids == "mit-title" and got[-1].sentence_ids == "apache-header"
+    assert license_scan.scan(spark.createDataFrame([(". " * 200000 + "\n" * 200000 + "All rights\nreserved",)], "text string")).head().sentence_ids == "reserved"
+
+
 # --- chat
 
 

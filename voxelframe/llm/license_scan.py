@@ -1,8 +1,10 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
 A text is normalised (runs of characters other than ASCII letters, digits, `.!?;:` and line feeds become one blank;
-lower case), cut into sentences at line feeds and at `.!?;:` before a blank, and each sentence is looked up among
-the known licence sentences.  The identifiers found, in text order, are matched against ordered rules: a rule holds
+lower case).  Known licence sentences are found in it between borders: line feeds, and `.!?;:` before a blank.  A
+single line feed, with the mark of a comment or without, may also stand for a blank inside a sentence, so wrapped
+licences and headers count; where several known sentences begin, the longest is taken.  The SQL knows no wrapped
+sentences: it gives the same rows where each known sentence stands on one line.  The identifiers found, in text order, are matched against ordered rules: a rule holds
 if its identifiers occur in its order, with others between them or not.  The first rule that holds gives the primary
 licence.  One narrow pass over the text: no shuffle, no join.
 
@@ -13,6 +15,8 @@ replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,13 +73,15 @@ IMPLIED = {"BSD-2-Clause": "BSD-3-Clause"}
 FOREIGN = r"[^A-Za-z0-9.!?;:\n]+"
 BORDER = r"\n|[.!?;:] "
 EDGE = " .!?;:"
+#: Marks of comments at the begin of a line that normalising leaves.
+COMMENT = r"(^|\n) ?(?:[;!]+ ?|(?:dnl|rem)(?: |(?=\n|\z)))"
+#: A blank inside a sentence: at most one line feed, for an empty line ends a sentence.
+WRAP = r" ?\n ?"
 NAMES = ("n_known_sentences", "sentence_ids", "licenses", "primary_license")
 
 
 def normalised(sentence: str) -> list[str]:
     """The sentences of a string as the scan sees them; for the tables of this module."""
-    import re
-
     return [p for s in re.split(BORDER, re.sub(FOREIGN, " ", sentence).lower()) if (p := s.strip(EDGE))]
 
 
@@ -84,9 +90,14 @@ def sentence_table(known: tuple = SENTENCES) -> dict[str, str]:
     return {max(normalised(text), key=len): name for name, text in known}
 
 
-def sentences_of(text: Column) -> Column:
+def sentences_of(text: Column, known: list[str]) -> Column:
+    """Those of the normalised `known` sentences that a text holds, in text order."""
     flat = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), FOREIGN, " "))
-    return F.transform(F.split(flat, BORDER), lambda s: F.btrim(s, F.lit(EDGE)))
+    # a bar, which no normalised text holds, for each sentence end and what follows it: the pattern below stays linear
+    flat = F.regexp_replace(F.regexp_replace(flat, COMMENT, "$1"), r"[.!?;:] [ .!?;:]*+", "|")
+    either = "|".join(f"(?: |{WRAP})".join(map(re.escape, s.split(" "))) for s in sorted(known, key=len, reverse=True)) or "(?!)"
+    pattern = rf"(?:^|[|\n])[ .!?;:]*+({either})(?=[ .!?;:]*+(?:[|\n]|\z))"
+    return F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)), lambda s: F.regexp_replace(s, WRAP, " "))
 
 
 def scan(docs: DataFrame, text_col: str = "text", known: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
@@ -95,7 +106,7 @@ def scan(docs: DataFrame, text_col: str = "text", known: tuple = SENTENCES, rule
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in NAMES]
     mark = "license_scan_found"
     lookup = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    found = docs.select(*own, F.filter(sentences_of(F.col(f"`{text_col}`")), lambda s: s.isin(*ids)).alias(mark))
+    found = docs.select(*own, sentences_of(F.col(f"`{text_col}`"), list(ids)).alias(mark))
     named = found.select(*own, F.size(mark).cast("long").alias(NAMES[0]), F.array_join(F.transform(mark, lambda s: F.element_at(lookup, s)), " ").alias(NAMES[1]))
     line = F.concat(F.lit(" "), F.replace(F.col(NAMES[1]), F.lit(" "), F.lit("  ")), F.lit(" "))
     holds = lambda seq: line.like("%" + "%".join(f" {i} " for i in seq) + "%")
