@@ -6,7 +6,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bpe, ngram_join, quality_crf, quality_rules, source_mix
@@ -36,10 +36,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.training_order(source_mix.plan(docs, prefix="mixed_"), docs.columns, prefix="mixed_")
 
 
+def written_rank() -> Column:
+    """For rows read from a table that was written in order: they sort by the task and the file that wrote them, and by their place in it."""
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    return F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the whole texts."""
-    done = bpe.encode_documents(docs, keep=["doc_id", "source"])
-    return done.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of the whole texts, and each row's place in the training order: `training_rank` sorts them."""
+    done = bpe.encode_documents(docs.withColumn("training_rank", written_rank()), keep=["doc_id", "source", "training_rank"])
+    return done.select("doc_id", "source", "training_rank", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mix), ("BPE encoding", tokenise)]

@@ -45,6 +45,44 @@ def test_op2(spark, docs):
     assert sorted(map(str, q.op2_source_mix(spark, SF).collect())) == sorted(map(str, rows))
 
 
+def test_op2_rows_are_in_training_order(spark, docs):
+    plan = {r.doc_id: r for r in q.source_mix.plan(q.table(spark, SF, "documents")).collect()}
+    first = [r.first_position for r in q.op2_source_mix(spark, SF).collect()]
+    known = [x for x in first if x is not None]
+    assert known == sorted(known) and first[: len(known)] == known and len(first) == len(docs)
+    rows = q.op2_training_order(spark, SF).collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    got = defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append((r["pass"], r.position, r.n_words))
+        assert (r.source, r.text) == (docs[r.doc_id][3], docs[r.doc_id][1])
+    for i, r in plan.items():
+        assert [x[1] for x in sorted(got[i])] == r.positions and sum(x[2] for x in got[i]) == r.taken
+    assert max(map(len, got.values())) > 1
+
+
+def test_pipeline_keeps_the_training_order(spark):
+    import corpus_pipeline as p
+
+    from voxelframe.plans.tables import Tables
+
+    docs = q.table(spark, SF, "documents").repartition(8)
+    planned = q.source_mix.plan(docs, prefix="mixed_")
+    written = Tables(spark).cut(q.source_mix.training_order(planned, docs.columns, partitions=5, prefix="mixed_"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = p.tokenise(spark, written, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.training_rank for r in rows}) == len(rows)
+    positions, times, last = {r.doc_id: r.mixed_positions for r in planned.collect()}, defaultdict(int), 0.0
+    for r in sorted(rows, key=lambda r: r.training_rank):
+        at = positions[r.doc_id][times[r.doc_id]]
+        times[r.doc_id] += 1
+        assert at >= last
+        last = at
+
+
 def test_op3(spark, docs):
     from test_operators import plain_links
 

@@ -31,7 +31,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     first = F.round(F.get("positions", F.lit(0)), 9)
-    return source_mix.plan(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("n_passes"), first.alias("first_position"))
+    rows = source_mix.plan(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").cast("long").alias("n_passes"), first.alias("first_position"))
+    return source_mix.in_order(rows, F.col("first_position"), [F.col("doc_id"), F.col("size")])
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pass of the plan with its document, in training order: op2_source_mix has the columns of its SQL, and so the first pass alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return source_mix.passes(source_mix.plan(docs), docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,22 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return joined.select(*own, *[c.alias(f"{prefix}{n}") for c, n in zip(new, NAMES, strict=True)])
 
 
+def in_order(rows: DataFrame, position: Column, ties: list[Column], partitions: int | None = None) -> DataFrame:
+    """`rows` range-sorted by position, those without one last; ties go by a hash of `ties`."""
+    order = [position.asc_nulls_last(), F.xxhash64(*ties).asc()]
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+def passes(planned: DataFrame, columns: list[str], partitions: int | None = None, prefix: str = "") -> DataFrame:
+    """`columns`, pass (from 0), n_words (what the pass takes of the document) and position for each pass of each planned document, range-sorted by position."""
+    size, taken, positions = (F.col(f"{prefix}{n}") for n in ("size", "taken", "positions"))
+    own = [F.col(f"`{c}`") for c in columns]
+    rows = planned.select(*own, size.alias("mix_size"), taken.alias("mix_taken"), F.posexplode(positions).alias("pass", "position"))
+    part = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("pass") * F.col("mix_size"))
+    return in_order(rows.select(*own, F.col("pass").cast("long").alias("pass"), part.alias("n_words"), "position"), F.col("position"), [*own, F.col("pass")], partitions)
+
+
 def training_order(planned: DataFrame, columns: list[str], least_part: float = 0.5, partitions: int | None = None, prefix: str = "") -> DataFrame:
     """A row for each pass of each planned document, range-sorted by training position; whole texts.
 
@@ -134,9 +150,7 @@ def training_order(planned: DataFrame, columns: list[str], least_part: float = 0
     kept = F.when((k > 0) & (last < least_part * size), F.slice(positions, 1, k - 1)).otherwise(positions)
     own = [F.col(f"`{c}`") for c in columns]
     rows = planned.select(*own, F.explode(kept).alias("mix_position"))
-    order = [F.col("mix_position"), F.xxhash64(*own)]
-    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    return dealt.sortWithinPartitions(*order).select(*own)
+    return in_order(rows, F.col("mix_position"), own, partitions).select(*own)
 
 
 def sql(mix: Mix = Mix(), table: str = "documents") -> str:
