@@ -412,6 +412,30 @@ def test_html(page, text):
     assert html_extract.main_text(page, TREE)[0] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><svg class="icon"/><p>a</p><p>b</p></article>', "a b"),
+        ("<div><svg class='icon'/></div><article><p>a</p><math/><p>b</p></article><footer>f</footer>", "a b"),
+        ("<article><div><video src=x>no</div><p>a</p><div><object data=y><p>no</div><p>b</p></article>", "a b"),
+        ("<article><p><canvas id=c>no</p><p>a</p><ul><li><audio src=x>no</li><li>b</li></ul></article>", "a b"),
+        ("<div><select><option>no<option>no</div><article><span><video>no</span><p>a</p></article>", "a"),
+        ("<article><p>a</p><svg><title/><style/><g><text>no</text></g></svg><p>b</p></article>", "a b"),
+        ("<article><svg><title>no</title><foreignObject><p>no</p><script>'</svg>'</script></foreignObject></svg><p>a</p></article>", "a"),
+        ("<article><template><article><p>no</p></article></template><object><object>no</object>no</object><p>a</p></article>", "a"),
+        ("<article><video controls><source src=x><p>no <a href=y>no</a></p></video><p>a</p><script>no", "a"),
+        ("<article><p>a</p><script/><p>no</p>", "a"),
+    ],
+)
+def test_html_skipped_elements(page, text):
+    assert html_extract.main_text(page, TREE)[0] == text
+
+
+def test_html_skipped_elements_are_linear():
+    for page in ("<svg>" + "<title/>" * 20000, "<svg/>" * 20000, "<video><p>" * 20000, "<script/>" * 20000):
+        html_extract.main_text(page, TREE)
+
+
 def test_html_without_article_element():
     words = lambda n: " ".join(f"w{k}" for k in range(n))
     page = f"<body><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul><h2>Title here</h2><p>{words(60)}</p><p>{words(40)}</p><p><a href=/>next</a></p></body>"

@@ -5,7 +5,8 @@ word count and link density, those of the blocks before and after it, and what i
 the like; an article; a heading).  A small decision tree, trained on `LABELLED`, says which blocks are main text.
 
 Defined cases: null and empty html give an empty text; comments, scripts, styles and other raw elements are skipped,
-to the end of the page if they aren't closed; unclosed tags and pages cut off are read as far as they go; character references are decoded,
+to the end of the page if they aren't closed; drawings, players, embedded objects, lists of choices and templates are
+skipped to their end tag or that of an element around them, and are empty if they close themselves; unclosed tags and pages cut off are read as far as they go; character references are decoded,
 white space inside a block becomes one blank; repeated rows get equal results; other columns pass through, except
 that a same-named input column is replaced.
 """
@@ -22,7 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Element kinds of HTML.
-RAW = "script style template textarea title noscript iframe svg math object select xmp noembed noframes canvas audio video"
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+#: Elements whose markup is read, but whose text is none of the page's.
+SKIPPED = frozenset("template object select canvas audio video".split())
+#: These are skipped, too; raw elements don't exist in them, and any element may close itself.
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end is often left out: they stay out of the stack.
@@ -42,9 +47,10 @@ EXEMPT = frozenset("html body article main".split())
 
 _ATTRS = r"""(?>[^<>"']+|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>])(?:{_ATTRS}|[^>]*)>(?:.*?</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|.*\Z)|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?:(?P<attrs>{_ATTRS})>|(?P<rest>[^>]*)(?:>|\Z))",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?:(?P<attrs>{_ATTRS})>|(?P<rest>[^>]*)(?:>|\Z))",
     re.S | re.I,
 )
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 _HINT = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -71,8 +77,10 @@ def _hints(tag: str, attrs: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, in an article
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, in boilerplate, in an article, skipped (2: drawings and formulas)
     boiler = main = heading = False
+    skip = 0
+    inner: dict[str, int] = {}  # open elements of the skipped one that stay out of the stack
     loose_boiler = False  # a paragraph or item that is marked itself
     link = 0
     parts: list[str] = []
@@ -87,22 +95,41 @@ def blocks(page: str) -> list[Block]:
             linked.clear()
 
     def take(raw: str) -> None:
-        if raw:
+        if raw and not skip:
             s = entities.unescape(raw) if "&" in raw else raw
             parts.append(s)
             if link:
                 linked.append(s)
 
+    def state() -> tuple[bool, bool, int]:
+        return stack[-1][1:] if stack else (False, False, 0)
+
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         take(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"] or m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA["):
                 cut()
             continue
         tag, attrs = tag.lower(), m["attrs"] or m["rest"] or ""
+        if tag in RAW and not m["close"] and skip < 2:
+            cut()
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if skip and (tag in INLINE or tag in LOOSE) and tag not in VOID:
+            if not m["close"]:
+                inner[tag] = inner.get(tag, 0) + (not attrs.rstrip().endswith("/"))
+            elif inner.get(tag):
+                inner[tag] -= 1
+            else:  # the end of an element around the skipped one
+                while stack and stack[-1][3]:
+                    stack.pop()
+                boiler, main, skip = state()
+            if skip:
+                continue
         if tag == "br":
             take(" ")
             continue
@@ -112,14 +139,27 @@ def blocks(page: str) -> list[Block]:
                 linked.append(" ")
             if not m["close"] and attrs and tag not in VOID and _hints(tag, attrs):
                 cut()  # a marked inline element is a block of its own
-                stack.append((tag, True, main))
+                stack.append((tag, True, main, 0))
                 boiler = True
             elif m["close"] and any(s[0] == tag and s[1] for s in stack[-1:]):
                 cut()
                 stack.pop()
-                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                boiler, main, skip = state()
             continue
         cut()
+        if skip or tag in SKIPPED or tag in FOREIGN:  # what is skipped changes nothing but the stack
+            at_tag = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1) if m["close"] and skip else -1
+            if at_tag >= 0 and not stack[at_tag][3]:
+                pass  # the end of an element around the skipped one: as any other
+            else:
+                if at_tag >= 0:
+                    del stack[at_tag:]
+                elif not m["close"] and tag not in VOID and not attrs.rstrip().endswith("/"):
+                    if not skip:
+                        inner.clear()
+                    stack.append((tag, boiler, main, 2 if tag in FOREIGN else 1 if tag == "foreignobject" else skip or 1))
+                boiler, main, skip = state()
+                continue
         link = 0
         if tag in VOID:
             continue
@@ -136,8 +176,8 @@ def blocks(page: str) -> list[Block]:
                     break
         elif not attrs.rstrip().endswith("/"):
             inside = boiler or tag in BOILER_TAGS or (tag == "header" and not main) or _hints(tag, attrs)
-            stack.append((tag, inside, main or tag in MAIN_TAGS))
-        boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            stack.append((tag, inside, main or tag in MAIN_TAGS, 0))
+        boiler, main, skip = state()
     take(page[at:])
     cut()
     return out
