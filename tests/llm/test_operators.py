@@ -493,6 +493,18 @@ def test_rules_bands():
     assert not quality_rules.measure(pa.array([noise]), tight).to_pylist()[0]["kept"]
 
 
+def test_rules_chunks_cover_the_whole_text():
+    rng = random.Random(1)
+    prose = " ".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 9))) for _ in range(2000))
+    noise = "".join(chr(rng.randrange(33, 127)) + " " * (rng.random() < 0.02) for _ in range(9000))  # packs to a bit less
+    tight = quality_rules.Rules(bands=((64, 0.5, 9.0), (1000, 1.3, 9.0), (4000, 0.5, 9.0)), chunk_band=(1.3, 9.0))
+    texts = [prose[:8191], prose[:4096] + noise[:4095], prose[:4096] + noise[:4096], prose[:3000], prose[:1024] + noise[:1976], prose[:1024], prose[:1023], prose[:4097]]
+    got = quality_rules.measure(pa.array(texts), tight).to_pylist()
+    assert [g["n_chunks"] for g in got] == [2, 2, 2, 3, 3, 1, 0, 2]
+    assert [g["n_bad_chunks"] for g in got] == [0, 1, 1, 0, 2, 0, 0, 0]
+    assert [g["kept"] or g["base_failed"] for g in got[:4]] == [True, False, False, True] and not got[4]["kept"]
+
+
 def test_rules_frames(odd):
     got = quality_rules.apply_rules(odd).collect()
     assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got] == [plain_rules(t) for t in ODD]

@@ -2,9 +2,12 @@
 
 A text is rejected when its zstandard ratio (bytes / compressed bytes), over the whole text or over more than
 `chunk_share` of its fixed chunks, leaves the band set for its length: above it the text is repetitive, below it
-incompressible.  Defined cases: null and empty texts have zero counts and fail the base rules; texts shorter than
-the first band's start and chunks shorter than `chunk_bytes` are in no band; repeated rows get equal results; other
-columns pass through, except that a same-named input column is replaced.
+incompressible.  Chunks cover the whole text: where its length is no multiple of theirs, the last chunk is its last
+bytes and overlaps the one before.  Texts under `chunk_bytes` have chunks of `small_chunk_bytes`, which the band of whole
+texts of that length holds for; texts shorter still are their own only chunk, so they have the whole text's band and
+count none.  Defined cases: null and empty texts have zero counts and fail the base rules; texts shorter than the first
+band's start are in no band; repeated rows get equal results; other columns pass through, except that a same-named
+input column is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ class Rules:
     max_repeat_percent: int = 50
     level: int = 3
     chunk_bytes: int = 4096
+    small_chunk_bytes: int = 1024
     chunk_share: float = 1 / 3
     bands: tuple = BANDS
     chunk_band: tuple = CHUNK_BAND
@@ -78,8 +82,9 @@ def _bands(buf: np.ndarray, offs: np.ndarray, rules: Rules) -> tuple[np.ndarray,
     pack = zstandard.ZstdCompressor(level=rules.level).compress
     n = len(offs) - 1
     ratio, chunks, bad, ok = np.full(n, np.nan), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-    lo, hi = rules.chunk_band
-    view, size = memoryview(buf), rules.chunk_bytes
+    view = memoryview(buf)
+    small = [x[1:] for x in rules.bands if rules.small_chunk_bytes >= x[0]]
+    limits = {rules.small_chunk_bytes: small[-1] if small else (0.0, np.inf), rules.chunk_bytes: rules.chunk_band}
     for i in range(n):
         a, b = int(offs[i]), int(offs[i + 1])
         if a == b:
@@ -87,7 +92,10 @@ def _bands(buf: np.ndarray, offs: np.ndarray, rules: Rules) -> tuple[np.ndarray,
         ratio[i] = r = (b - a) / len(pack(view[a:b]))
         band = [x for x in rules.bands if b - a >= x[0]]
         fine = not band or band[-1][1] <= r <= band[-1][2]
-        for k in range(a, b - size + 1, size):
+        size = rules.chunk_bytes if b - a >= rules.chunk_bytes else rules.small_chunk_bytes
+        lo, hi = limits[size]
+        last = [b - size] if b - a > size and (b - a) % size else []
+        for k in (*range(a, b - size + 1, size), *last):
             chunks[i] += 1
             bad[i] += not lo <= size / len(pack(view[k : k + size])) <= hi
         ok[i] = fine and bad[i] <= rules.chunk_share * chunks[i]
