@@ -37,18 +37,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def written_rank() -> Column:
-    """For rows read from a table that was written in order: they sort by the task and the file that wrote them, and by their place in it."""
-    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("long")
+    """For rows read from a table that was written in order: they sort by the task and the file that wrote them, and by their place in it; null if Spark did not write the files."""
+    number = lambda pattern: F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).try_cast("long")
     return F.shiftleft(number(r"^part-(\d+)"), 42) + F.shiftleft(number(r"-c(\d+)\."), 32) + F.col("_metadata.row_index")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the whole texts, and each row's place in the training order: `training_rank` sorts them."""
-    done = bpe.encode_documents(docs.withColumn("training_rank", written_rank()), keep=["doc_id", "source", "training_rank"])
-    return done.select("doc_id", "source", "training_rank", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of the whole texts, the digest of the text decoded from them and whether it is the text's own, and each row's place in the training order: `training_rank` sorts them."""
+    own = F.sha2(F.coalesce("text", F.lit("")), 256)
+    ranked = docs.withColumn("training_rank", written_rank()).withColumn("text_sha256", own)
+    done = bpe.round_trip_documents(ranked, keep=["doc_id", "source", "training_rank", "text_sha256"]).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return done.select("doc_id", "source", "training_rank", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256", F.col("decoded_sha256").eqNullSafe(F.col("text_sha256")).alias("round_trips"))
 
 
-STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mix), ("BPE encoding", tokenise)]
+STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("n-gram Jaccard join", near_duplicates), ("mixing sources", mix), ("BPE encoding and decoding", tokenise)]
 
 #: SQL can express neither the classifiers nor the encoder: the tests hold the pipeline against brute force.
 ORACLE_SQL = None

@@ -83,6 +83,14 @@ def test_pipeline_keeps_the_training_order(spark):
         last = at
 
 
+def test_pipeline_decodes(spark, docs):
+    import corpus_pipeline as p
+
+    rows = p.tokenise(spark, q.table(spark, SF, "documents"), SF).collect()
+    assert len(rows) == len(docs) and all(r.decoded_sha256 == sha(docs[r.doc_id][1] or "") and r.round_trips for r in rows)
+    assert p.STAGES[-1][0] == "BPE encoding and decoding"
+
+
 def test_op3(spark, docs):
     from test_operators import plain_links
 
