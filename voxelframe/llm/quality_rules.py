@@ -1,13 +1,16 @@
 """Quality rules: word and line statistics, and compression bands.
 
 A text is rejected when its zstandard ratio (bytes / compressed bytes), over the whole text or over more than
-`chunk_share` of its fixed chunks, leaves the band set for its length: above it the text is repetitive, below it
-incompressible.  Chunks cover the whole text: where its length is no multiple of theirs, the last chunk is its last
-bytes and overlaps the one before.  Texts under `chunk_bytes` have chunks of `small_chunk_bytes`, which the band of whole
-texts of that length holds for; texts shorter still are their own only chunk, so they have the whole text's band and
-count none.  Defined cases: null and empty texts have zero counts and fail the base rules; texts shorter than the first
-band's start are in no band; repeated rows get equal results; other columns pass through, except that a same-named
-input column is replaced.
+`chunk_share` of its fixed chunks, leaves the limits for its length: above them the text is repetitive, below them
+incompressible.  Longer texts compress better, so the limits follow the length: they are given at some lengths
+(`LIMITS`) and drawn as straight lines over the logarithm of the length between them.  Chunks have the limits of
+their own length.  Chunks cover the whole text: where its length is no multiple of theirs, the last chunk is its last
+bytes and overlaps the one before.  Texts under `chunk_bytes` have chunks of `small_chunk_bytes`; texts shorter still
+are their own only chunk, so they have the whole text's limits and count none.
+
+Defined cases: null and empty texts have zero counts and fail the base rules; texts shorter than the first length of
+`LIMITS` have none; beyond its last length the limits stay; repeated rows get equal results; other columns pass
+through, whatever their names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +25,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import bytetext as bt
-
-#: From this many bytes on, the least and the largest ratio of a whole text.
-BANDS = ((64, 0.5, 3.0), (200, 1.05, 3.0), (500, 1.15, 3.5), (2000, 1.25, 4.0), (8000, 1.25, 5.0))
-#: The least and the largest ratio of a chunk.
-CHUNK_BAND = (1.15, 4.0)
+from .columns import kept, spare
+
+#: At a length in bytes, the least and the largest ratio.  Measured: prose in Latin script lies up to 0.1 below
+#: the largest; texts with a mark between all words lie above it.  Keys, ciphers and base64 (1.0 to 1.35) lie below the least.
+LIMITS = (
+    (128, 0.90, 1.85),
+    (256, 1.05, 1.90),
+    (512, 1.20, 1.95),
+    (1024, 1.30, 2.04),
+    (2048, 1.40, 2.18),
+    (4096, 1.45, 2.31),
+    (8192, 1.50, 2.43),
+    (16384, 1.50, 2.53),
+    (32768, 1.50, 2.62),
+    (65536, 1.50, 2.72),
+    (262144, 1.50, 3.00),
+    (1048576, 1.50, 3.30),
+)
 SYMBOLS = b"#*$%&|<>"
 FIELDS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "ratio": "double", "n_chunks": "bigint", "n_bad_chunks": "bigint", "base_failed": "boolean", "kept": "boolean"}
 
@@ -39,8 +55,15 @@ class Rules:
     chunk_bytes: int = 4096
     small_chunk_bytes: int = 1024
     chunk_share: float = 1 / 3
-    bands: tuple = BANDS
-    chunk_band: tuple = CHUNK_BAND
+    limits: tuple = LIMITS
+
+
+def limits_of(sizes: np.ndarray, limits: tuple = LIMITS) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest ratio of texts of these many bytes."""
+    at, low, high = (np.array([x[k] for x in limits], float) for k in range(3))
+    place = np.log2(np.maximum(sizes, 1))
+    short = np.asarray(sizes) < at[0]
+    return np.where(short, 0.0, np.interp(place, np.log2(at), low)), np.where(short, np.inf, np.interp(place, np.log2(at), high))
 
 
 def _repeat_words(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -78,27 +101,27 @@ def _dup_lines(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _bands(buf: np.ndarray, offs: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ratio (NaN: empty), chunks, chunks outside their band, and whether the text stays within its bands."""
+    """Ratio (NaN: empty), chunks, chunks outside their limits, and whether the text stays within its limits."""
     pack = zstandard.ZstdCompressor(level=rules.level).compress
     n = len(offs) - 1
     ratio, chunks, bad, ok = np.full(n, np.nan), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
     view = memoryview(buf)
-    small = [x[1:] for x in rules.bands if rules.small_chunk_bytes >= x[0]]
-    limits = {rules.small_chunk_bytes: small[-1] if small else (0.0, np.inf), rules.chunk_bytes: rules.chunk_band}
+    low, high = (x.tolist() for x in limits_of(np.diff(offs), rules.limits))
+    sizes = (rules.small_chunk_bytes, rules.chunk_bytes)
+    of_chunk = dict(zip(sizes, zip(*(x.tolist() for x in limits_of(np.array(sizes), rules.limits)), strict=True), strict=True))
     for i in range(n):
         a, b = int(offs[i]), int(offs[i + 1])
         if a == b:
             continue
         ratio[i] = r = (b - a) / len(pack(view[a:b]))
-        band = [x for x in rules.bands if b - a >= x[0]]
-        fine = not band or band[-1][1] <= r <= band[-1][2]
         size = rules.chunk_bytes if b - a >= rules.chunk_bytes else rules.small_chunk_bytes
-        lo, hi = limits[size]
-        last = [b - size] if b - a > size and (b - a) % size else []
-        for k in (*range(a, b - size + 1, size), *last):
-            chunks[i] += 1
-            bad[i] += not lo <= size / len(pack(view[k : k + size])) <= hi
-        ok[i] = fine and bad[i] <= rules.chunk_share * chunks[i]
+        least, most = of_chunk[size]
+        if b - a >= size:
+            last = [b - size] if (b - a) % size else []
+            for k in (*range(a, b - size + 1, size), *last):
+                chunks[i] += 1
+                bad[i] += not least <= size / len(pack(view[k : k + size])) <= most
+        ok[i] = low[i] <= r <= high[i] and bad[i] <= rules.chunk_share * chunks[i]
     return ratio, chunks, bad, ok
 
 
@@ -136,12 +159,11 @@ def rules_of(text: Column, rules: Rules = Rules()) -> Column:
 
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """`docs` with the columns of `FIELDS`."""
-    mark = "quality_rules_struct"
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in FIELDS]
+    mark, own = spare(docs, "rules"), kept(docs, tuple(FIELDS))
     return docs.select(*own, rules_of(F.col(f"`{text_col}`"), rules).alias(mark)).select(*own, f"{mark}.*")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of `docs` whose text the rules keep, with the columns of `docs`."""
-    mark = "quality_rules_struct"
-    return docs.withColumn(mark, rules_of(F.col(f"`{text_col}`"), rules)).where(F.col(f"{mark}.kept")).drop(mark)
+    mark = spare(docs, "rules")
+    return docs.select("*", rules_of(F.col(f"`{text_col}`"), rules).alias(mark)).where(F.col(f"{mark}.kept")).drop(mark)
