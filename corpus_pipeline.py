@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.llm import bpe, ngram_join, quality_crf, quality_rules, source_mix
+from voxelframe.llm.columns import spare_prefix
 from voxelframe.llm.queries import table
 from voxelframe.plans.tables import Tables
 
@@ -17,7 +18,7 @@ from voxelframe.plans.tables import Tables
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go.  Learns from labelled rows of `docs`, but for a held-out third."""
     allowed = F.crc32(F.col("id").cast("string")) % 3 != 1
-    model = quality_crf.fit(*quality_crf.training_rows(docs, table(spark, sf_dir, "labels"), allowed=allowed))
+    model = quality_crf.fit(quality_crf.training_sample(docs, table(spark, sf_dir, "labels"), allowed=allowed))
     return quality_crf.keep_good(docs, model)
 
 
@@ -33,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target asks for, in training order."""
-    return source_mix.training_order(source_mix.plan(docs, prefix="mixed_"), docs.columns, prefix="mixed_")
+    prefix = spare_prefix(docs, "mixed_")
+    return source_mix.training_order(source_mix.plan(docs, prefix=prefix), docs.columns, prefix=prefix)
 
 
 def written_rank() -> Column:

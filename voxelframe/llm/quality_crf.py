@@ -2,12 +2,16 @@
 
 Each line gets features of its own and of both neighbours; the field labels it good or bad.  Forward-backward
 marginals, weighted by line length, average to the text's quality.  Lines take their document's label in training.
-Training uses a bounded sample (`Fit.per_label` documents a label, `Fit.lines` lines of each).
 
-Defined cases: a text without any line that holds a word (null, empty or white space) scores `EMPTY_SCORE`, the
-prior share of label 1 in the sample; without training rows of both labels every text scores 1 if only label 1 is
-known, 0 if only label 0, 0.5 if none; repeated rows get equal scores; other columns pass through, except that a
-same-named input column is replaced.
+Training uses a bounded sample of labelled documents: about `Fit.per_label` of each label and `Fit.most_rows` in all.
+Executors read their whole texts and hand back the features of at most `Fit.lines` lines of each, in `Fit.stretches`
+runs of consecutive lines spread evenly from the first line to the last; no text reaches the driver.
+
+Defined cases: a text without any line that holds a word (null, empty or white space) scores `Model.prior`, the share
+of label 1 in the sample; without training rows of both labels every text scores 1 if only label 1 is known, 0 if
+only label 0, 0.5 if none; a text may have any number of lines and a line any length (time grows in proportion to
+both); repeated rows get equal scores; other columns pass through, whatever their names, except that an input column
+with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import bytetext as bt
+from .columns import kept, spare
 
 SYMBOLS = b"#*$%&|<>@^~=+_\\/{}[]"
 FEATURES = ("bias", "symbols", "upper", "digits", "marks", "repeats", "pairs", "bars", "short words", "long words", "short line", "long line")
@@ -30,7 +35,9 @@ N_OWN = len(FEATURES)
 @dataclass(frozen=True)
 class Fit:
     per_label: int = 1500
+    most_rows: int = 6000
     lines: int = 40
+    stretches: int = 4
     steps: int = 150
     rate: float = 0.3
     l2: float = 1e-3
@@ -153,24 +160,66 @@ def _smooth(score: np.ndarray, move: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return one, pair
 
 
-def fit(texts: list[str | None], labels: list[int], how: Fit = Fit()) -> Model:
+@dataclass(frozen=True)
+class Sample:
+    """Chains of training lines: a document's stretches, one after the other."""
+
+    x: np.ndarray  # (lines, 3 * N_OWN)
+    chains: np.ndarray  # where each chain begins, and the number of lines
+    document: np.ndarray  # of each chain
+    labels: np.ndarray  # of each document
+
+
+def _stretches(n: int, how: Fit) -> list[tuple[int, int]]:
+    """Ranges of the lines that training sees of a text of `n`: all, or `stretches` runs spread over the whole text."""
+    if n <= how.lines:
+        return [(0, n)] if n else []
+    runs = max(1, min(how.stretches, how.lines))
+    size = how.lines // runs
+    return [(a, a + size) for a in ((n - size) * k // max(1, runs - 1) for k in range(runs))]
+
+
+def sample_lines(col: pa.Array, how: Fit = Fit()) -> pa.StructArray:
+    """For each text the features of its sampled lines, one line after the other, and the lengths of the stretches."""
+    buf, offs = bt.flatten(col)
+    features: list[np.ndarray] = []
+    sizes: list[list[int]] = []
+    for i, j in bt.slices(offs):
+        x, at, _ = line_features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        x = _with_neighbours(x, at)
+        for a, b in zip(at.tolist(), at.tolist()[1:], strict=False):
+            ranges = _stretches(b - a, how)
+            features.append(np.concatenate([x[a + s : a + e] for s, e in ranges] or [x[:0]]).ravel())
+            sizes.append([e - s for s, e in ranges])
+    ends = np.concatenate([[0], np.cumsum([len(f) for f in features])]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.float32), *features]).astype(np.float32)
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sizes, pa.list_(pa.int32()))], ["features", "sizes"])
+
+
+def sample_of(texts: list[str | None], labels: list[int], how: Fit = Fit()) -> Sample:
+    """The training lines of texts at hand."""
+    rows = sample_lines(pa.array(texts, pa.string()), how).to_pylist()
+    return _sample([r["features"] for r in rows], [r["sizes"] for r in rows], labels)
+
+
+def _sample(features: list, sizes: list[list[int]], labels: list[int]) -> Sample:
+    x = np.concatenate([np.zeros(0), *[np.asarray(f, np.float64) for f in features]]).reshape(-1, 3 * N_OWN)
+    lens = np.array([n for s in sizes for n in s], np.int64)
+    return Sample(x, np.concatenate([[0], np.cumsum(lens)]), np.repeat(np.arange(len(sizes)), [len(s) for s in sizes]), np.asarray(labels, np.int64))
+
+
+def fit(sample: Sample, how: Fit = Fit()) -> Model:
     """Gradient ascent (Adam) on the mean log-likelihood of the lines' labels."""
-    y = np.asarray(labels, np.int64)
+    y, x, at = sample.labels, sample.x, sample.chains
     known = set(y.tolist())
-    zero = Model(np.zeros((3 * N_OWN, 2)), np.zeros((2, 2)), 0.5 if not known else float(np.mean(y)))
-    if len(known) < 2:
-        return zero
-    buf, offs = bt.flatten(pa.array(texts, pa.string()))
-    x, at, _ = line_features(buf, offs)
-    x = _with_neighbours(x, at)
-    keep = np.arange(len(x)) - np.repeat(at[:-1], np.diff(at)) < how.lines
-    label = np.repeat(y, np.diff(at))[keep]
-    x = x[keep].astype(np.float64)
-    lens = np.minimum(np.diff(at), how.lines)
-    at = np.concatenate([[0], np.cumsum(lens)])
+    if len(known) < 2 or not len(x):
+        return Model(np.zeros((3 * N_OWN, 2)), np.zeros((2, 2)), 0.5 if not known else float(np.mean(y)))
+    lens = np.diff(at)
+    label = np.repeat(y[sample.document], lens)
     # both labels weigh the same, and so does each document
     share = np.bincount(y, minlength=2) / len(y)
-    weight = np.repeat(1 / np.maximum(lens, 1), lens) / np.maximum(share, 1e-9)[label]
+    of_document = np.bincount(sample.document, lens, len(y))
+    weight = np.repeat(1 / of_document[sample.document], lens) / np.maximum(share, 1e-9)[label]
     weight /= weight.sum()
     own = np.eye(2)[label]
     seen = np.zeros((len(label), 2, 2))
@@ -219,37 +268,38 @@ def score_of(text: Column, model: Model) -> Column:
     return arrow_udf(f, "score double, n_lines bigint, n_bad_lines bigint").asNondeterministic()(text)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", allowed: Column | None = None, how: Fit = Fit()) -> tuple[list, list]:
-    """At most about `how.per_label` documents of each label, chosen by a hash of their id; rows without id or label are skipped.
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", allowed: Column | None = None, how: Fit = Fit()) -> Sample:
+    """The training lines of about `how.per_label` documents of each label, chosen by a hash of their id; rows without id or label are skipped.
 
-    One counting pass over `labels`; the texts of the chosen rows alone reach the driver, each cut after `how.lines` lines.
+    One counting pass over `labels`.  Should ids repeat, the `how.most_rows` first rows by that hash are taken.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if allowed is not None:
         known = known.where(allowed)
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return [], []
+        return _sample([], [], [])
     spread = F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.lit(1_000_000))
     most = F.lit(0)
     for y, n in sorted(counts.items()):
         most = F.when(F.col("y") == y, F.lit(min(1_000_000, -(-how.per_label * 1_000_000 // n)))).otherwise(most)
     chosen = known.where(spread < most).dropDuplicates(["id"])
-    text = F.concat_ws("\n", F.slice(F.split(F.col(f"`{text_col}`"), "\n"), 1, how.lines))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.substring(text, 1, 20_000).alias("text")).join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").limit(4 * how.per_label).collect()
-    return [r.text for r in rows], [r.y for r in rows]
+    lines = arrow_udf(lambda col: sample_lines(col, how), "features array<float>, sizes array<int>").asNondeterministic()
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    rows = texts.select("id", "y", lines("text").alias("s")).orderBy(F.xxhash64("id"), "id", "s").limit(how.most_rows).collect()
+    return _sample([r.s.features for r in rows], [r.s.sizes for r in rows], [r.y for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
     """`docs` with score (0 to 1), predicted (1 if score >= 0.5), n_lines and n_bad_lines."""
-    names = {f"{prefix}{x}" for x in ("score", "predicted", "n_lines", "n_bad_lines")}
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
-    mark = "quality_crf_struct"
+    names = [f"{prefix}{x}" for x in ("score", "predicted", "n_lines", "n_bad_lines")]
+    mark, own = spare(docs, "crf"), kept(docs, names)
     q = F.col(mark)
-    return docs.select(*own, score_of(F.col(f"`{text_col}`"), model).alias(mark)).select(*own, q.score.alias(f"{prefix}score"), (q.score >= 0.5).cast("int").alias(f"{prefix}predicted"), q.n_lines.alias(f"{prefix}n_lines"), q.n_bad_lines.alias(f"{prefix}n_bad_lines"))
+    new = (q.score, (q.score >= 0.5).cast("int"), q.n_lines, q.n_bad_lines)
+    return docs.select(*own, score_of(F.col(f"`{text_col}`"), model).alias(mark)).select(*own, *[c.alias(n) for c, n in zip(new, names, strict=True)])
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of `docs` that score `least` or more, with the columns of `docs`."""
-    mark = "quality_crf_struct"
-    return docs.withColumn(mark, score_of(F.col(f"`{text_col}`"), model)).where(F.col(f"{mark}.score") >= least).drop(mark)
+    mark = spare(docs, "crf")
+    return docs.select("*", score_of(F.col(f"`{text_col}`"), model).alias(mark)).where(F.col(f"{mark}.score") >= least).drop(mark)

@@ -56,7 +56,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     allowed = F.crc32(F.col("id").cast("string")) % 3 != 1
-    model = quality_crf.fit(*quality_crf.training_rows(docs, table(spark, sf_dir, "labels"), allowed=allowed))
+    model = quality_crf.fit(quality_crf.training_sample(docs, table(spark, sf_dir, "labels"), allowed=allowed))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return quality_crf.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")
 
