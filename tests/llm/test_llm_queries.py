@@ -130,11 +130,22 @@ def test_op6(spark, duck):
 
 
 def test_op7(spark, docs):
-    from test_operators import plain_rules
+    from test_operators import plain_bands, plain_rules
 
     for r in q.op7_quality_rules(spark, SF).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_rules(docs[r.doc_id][1])
-        assert not (r.kept and r.base_failed)
+        ratio, chunks, bad, ok = plain_bands(docs[r.doc_id][1])
+        assert (r.ratio, r.n_chunks, r.n_bad_chunks, r.kept) == (ratio, chunks, bad, ok and not r.base_failed)
+
+
+def test_op7_bands_decide(spark):
+    """Of labelled texts that pass the base rules, the bands reject half of the bad ones and at most 2 % of the good ones."""
+    import duckdb
+
+    label = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{MORE}/labels.parquet'").fetchall())
+    rows = [r for r in q.op7_quality_rules(spark, MORE).collect() if not r.base_failed]
+    share = {y: np.mean([r.kept for r in rows if label.get(r.doc_id) == y]) for y in (0, 1)}
+    assert share[0] <= 0.5 and share[1] >= 0.98
 
 
 def test_op8(spark, duck):

@@ -358,7 +358,7 @@ def quality_rows():
 
 def test_crf_learns(spark, odd):
     rows = quality_rows()
-    model = quality_crf.fit([t for t, _ in rows[::2]], [y for _, y in rows[::2]], quality_crf.Fit(steps=60))
+    model = quality_crf.fit(quality_crf.sample_of([t for t, _ in rows[::2]], [y for _, y in rows[::2]]), quality_crf.Fit(steps=60))
     got = quality_crf.score_batch(pa.array([t for t, _ in rows[1::2]]), model).to_pylist()
     assert sum((g["score"] >= 0.5) == y for g, (_, y) in zip(got, rows[1::2])) >= 0.95 * len(got)
     mixed = rows[0][0] + "\n" + rows[-1][0]
@@ -372,16 +372,91 @@ def test_crf_learns(spark, odd):
 
 def test_crf_without_training_rows(spark, odd):
     empty = spark.createDataFrame([], "doc_id bigint, quality int")
-    assert quality_crf.training_rows(odd, empty) == ([], [])
-    assert quality_crf.score_batch(pa.array(["a b", None]), quality_crf.fit([], [])).field("score").to_pylist() == [0.5, 0.5]
-    assert quality_crf.score_batch(pa.array(["a b"]), quality_crf.fit(["x"], [1])).field("score").to_pylist() == [1.0]
+    none, one = quality_crf.fit(quality_crf.training_sample(odd, empty)), quality_crf.fit(quality_crf.sample_of(["x"], [1]))
+    assert quality_crf.score_batch(pa.array(["a b", None]), none).field("score").to_pylist() == [0.5, 0.5]
+    assert quality_crf.score_batch(pa.array(["a b"]), one).field("score").to_pylist() == [1.0]
+    assert quality_crf.fit(quality_crf.sample_of([None, ""], [0, 1])).prior == 0.5
 
 
 def test_crf_sample_is_bounded_and_skips_nulls(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)] + [(None, "x")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)] + [(3, None), (None, 1), (4, 0)], "doc_id bigint, quality int")
-    texts, ys = quality_crf.training_rows(docs, labels, allowed=F.col("id") % 5 != 0, how=quality_crf.Fit(per_label=100))
-    assert 100 < len(texts) < 320 and set(ys) == {0, 1} and not any(int(t.split()[1]) % 5 == 0 for t in texts)
+    how = quality_crf.Fit(per_label=100)
+    sample = quality_crf.training_sample(docs, labels, allowed=F.col("id") % 5 != 0, how=how)
+    assert 100 < len(sample.labels) < 320 and set(sample.labels.tolist()) == {0, 1} and len(sample.x) == len(sample.document) == len(sample.labels)
+    few = quality_crf.training_sample(docs.unionByName(docs), labels, how=quality_crf.Fit(per_label=100, most_rows=50))
+    assert len(few.labels) == 50
+
+
+def test_crf_sample_spreads_over_the_whole_text(spark):
+    """Of a long text, runs of lines from the first to the last; they are those of the whole text, neighbours included."""
+    assert quality_crf._stretches(0, quality_crf.Fit()) == [] and quality_crf._stretches(40, quality_crf.Fit()) == [(0, 40)]
+    assert quality_crf._stretches(1000, quality_crf.Fit()) == [(0, 10), (330, 340), (660, 670), (990, 1000)]
+    text = "\n".join("word " * (k % 7 + 1) + "!" * (k % 3) + "X" * (k % 11) for k in range(1000))
+    docs = spark.createDataFrame([(1, text), (2, "short one\n\nof two lines")], "doc_id bigint, text string")
+    sample = quality_crf.training_sample(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id bigint, quality int"))
+    x, at, _ = quality_crf.line_features(*bt.flatten(pa.array([text])))
+    whole = quality_crf._with_neighbours(x, at)
+    k = sample.labels.tolist().index(0)
+    rows = np.concatenate([sample.x[a:b] for d, a, b in zip(sample.document, sample.chains, sample.chains[1:]) if d == k])
+    assert np.array_equal(rows.astype(np.float32), np.concatenate([whole[a:b] for a, b in quality_crf._stretches(1000, quality_crf.Fit())]))
+    assert len(sample.x) == 42 and np.diff(sample.chains).tolist().count(10) == 4
+
+
+def plain_line(words, before):
+    """The features of a line, a word at a time."""
+    text = b"".join(words)
+    n = len(text)
+    count = lambda chars: sum(c in chars for c in text)
+    pairs = list(zip(words, words[1:]))
+    return [
+        1.0,
+        min(1, 8 * count(quality_crf.SYMBOLS) / n),
+        min(1, 2 * sum(65 <= c <= 90 for c in text) / n),
+        min(1, 2 * sum(48 <= c <= 57 for c in text) / n),
+        min(1, 8 * count(b"!?") / n),
+        sum(a == b for a, b in pairs) / len(words),
+        (len(pairs) - len(set(pairs))) / len(words),
+        min(1, 4 * count(b"|") / len(words)),
+        sum(len(w) <= 2 for w in words) / len(words),
+        sum(len(w) >= 20 for w in words) / len(words),
+        float(len(words) < 4),
+        float(len(words) > 60),
+    ]
+
+
+def plain_quality(text, model):
+    """The score of a text: plain features, and marginals by sums over the labels before and after each line."""
+    lines = [w for x in (text or "").split("\n") if (w := x.encode().split())]
+    if not lines:
+        return model.prior, 0, 0
+    own = [plain_line(w, None) for w in lines]
+    zero = [0.0] * len(own[0])
+    e = [np.array(o + (own[k - 1] if k else zero) + (own[k + 1] if k + 1 < len(own) else zero)) @ model.weights for k, o in enumerate(own)]
+    fwd, bwd = [e[0]], [np.zeros(2)]
+    for k in range(1, len(e)):
+        fwd.append(np.array([e[k][y] + np.logaddexp(fwd[-1][0] + model.move[0, y], fwd[-1][1] + model.move[1, y]) for y in (0, 1)]))
+        n = e[-k] + bwd[0]
+        bwd.insert(0, np.array([np.logaddexp(n[0] + model.move[y, 0], n[1] + model.move[y, 1]) for y in (0, 1)]))
+    good = [float(1 / (1 + np.exp(f[0] + b[0] - f[1] - b[1]))) for f, b in zip(fwd, bwd)]
+    size = [sum(map(len, w)) for w in lines]
+    return sum(g * s for g, s in zip(good, size)) / sum(size), len(lines), sum(g < 0.5 for g in good)
+
+
+def test_crf_documents_equal_plain():
+    rows = quality_rows()
+    model = quality_crf.fit(quality_crf.sample_of([t for t, _ in rows], [y for _, y in rows]), quality_crf.Fit(steps=40))
+    texts = [t for t, _ in rows[::10]] + [a[0] + "\n" + b[0] for a, b in zip(rows[:10], rows[-10:])] + [t for t in ODD if t is None or len(t) < 1000]
+    for t, g in zip(texts, quality_crf.score_batch(pa.array(texts, pa.string()), model).to_pylist()):
+        score, lines, bad = plain_quality(t, model)
+        assert abs(g["score"] - score) < 1e-4 and (g["n_lines"], g["n_bad_lines"]) == (lines, bad)
+
+
+def test_crf_many_lines_and_long_lines():
+    rows = quality_rows()
+    model = quality_crf.fit(quality_crf.sample_of([t for t, _ in rows], [y for _, y in rows]), quality_crf.Fit(steps=20))
+    got = quality_crf.score_batch(pa.array(["a line of text\n" * 20000, "word " * 200000]), model).to_pylist()
+    assert [g["n_lines"] for g in got] == [20000, 1] and all(0 <= g["score"] <= 1 for g in got)
 
 
 # --- HTML
@@ -475,6 +550,35 @@ def plain_rules(t):
     return n, sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), rep, n < 50 or 100 * rep > 50 * n
 
 
+def plain_bands(t):
+    """ratio, chunks, chunks out of their limits and whether the bands keep a text."""
+    import math
+
+    import zstandard
+
+    b = (t or "").encode()
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    def fine(x):
+        n, table = len(x), quality_rules.LIMITS
+        if n < table[0][0]:
+            return True
+        for (a, lo, hi), (c, lo2, hi2) in zip(table, table[1:]):
+            if n <= c:
+                part = math.log(n / a) / math.log(c / a)
+                return lo + part * (lo2 - lo) <= ratio(x) <= hi + part * (hi2 - hi)
+        return table[-1][1] <= ratio(x) <= table[-1][2]
+
+    if not b:
+        return None, 0, 0, True
+    size = 4096 if len(b) >= 4096 else 1024
+    chunks = [b[k : k + size] for k in range(0, len(b) - size + 1, size)]
+    if chunks and len(b) % size:
+        chunks.append(b[-size:])
+    bad = sum(not fine(c) for c in chunks)
+    return ratio(b), len(chunks), bad, fine(b) and 3 * bad <= len(chunks)
+
+
 @given(st.lists(st.text(st.sampled_from(list("ab \n#\té")), max_size=80), max_size=6))
 @settings(max_examples=80, deadline=None)
 def test_rules_equal_plain_counts(texts):
@@ -489,7 +593,7 @@ def test_rules_bands():
     noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(5)) for _ in range(3000))
     got = quality_rules.measure(pa.array([prose, lines, prose + " " + " ".join(f"{k} of the list again" for k in range(30000)), noise])).to_pylist()
     assert got[0]["kept"] and not got[1]["kept"] and not got[2]["kept"] and got[2]["n_bad_chunks"] > 0
-    tight = quality_rules.Rules(bands=((0, 2.5, 9.0),))
+    tight = quality_rules.Rules(limits=((1, 2.5, 9.0),))
     assert not quality_rules.measure(pa.array([noise]), tight).to_pylist()[0]["kept"]
 
 
@@ -497,7 +601,7 @@ def test_rules_chunks_cover_the_whole_text():
     rng = random.Random(1)
     prose = " ".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randrange(2, 9))) for _ in range(2000))
     noise = "".join(chr(rng.randrange(33, 127)) + " " * (rng.random() < 0.02) for _ in range(9000))  # packs to a bit less
-    tight = quality_rules.Rules(bands=((64, 0.5, 9.0), (1000, 1.3, 9.0), (4000, 0.5, 9.0)), chunk_band=(1.3, 9.0))
+    tight = quality_rules.Rules(limits=((64, 0.5, 9.0), (1000, 1.3, 9.0), (2000, 1.3, 9.0), (2001, 0.5, 9.0), (4095, 0.5, 9.0), (4096, 1.3, 9.0), (4097, 0.5, 9.0)))
     texts = [prose[:8191], prose[:4096] + noise[:4095], prose[:4096] + noise[:4096], prose[:3000], prose[:1024] + noise[:1976], prose[:1024], prose[:1023], prose[:4097]]
     got = quality_rules.measure(pa.array(texts), tight).to_pylist()
     assert [g["n_chunks"] for g in got] == [2, 2, 2, 3, 3, 1, 0, 2]

@@ -11,7 +11,8 @@ of a slice is encoded once, and a bounded cache keeps pieces between batches.
 
 Defined cases: null texts encode as empty texts; special tokens found in a text become their ids; null id lists
 decode to null; ids outside the vocabulary decode to nothing, and invalid UTF-8 to U+FFFD; repeated rows get equal
-results; other columns pass through, except that a same-named input column is replaced.
+results; other columns pass through, whatever their
+names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import bytetext as bt
+from .columns import spare
 
 DEFAULT_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 CACHED_PIECES = 200_000
@@ -331,7 +333,7 @@ def _in_slices(docs: DataFrame, text_col: str, keep: list[str], fields: list[T.S
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *make(v, part.column(len(keep)))], names)
 
-    mark = "bpe_text"
+    mark = spare(docs, "bpe_text", *names)
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(mark)).mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ turns read back exactly.  The loss mask is the spans (code points) of the assist
 Defined cases: null records, other JSON than objects and unknown layouts get a null `formatted` and no turns, with
 their fingerprint (null if there is none) for a report; empty turn lists format as the empty string; null roles and texts read as empty;
 fields of a single-turn rule that are empty are left out except the last; repeated rows get equal results; other
-columns pass through, except that a same-named input column is replaced.
+columns pass through, whatever their names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .columns import kept, spare
+
 #: The layouts.  "each": path of the list, role field, text field; "turns": (role, path) in order.
 LAYOUTS = (
     {"name": "messages", "paths": ("messages[].role", "messages[].content"), "each": ("messages", "role", "content")},
@@ -171,13 +173,12 @@ def format_batch(records: pa.Array) -> pa.StructArray:
 
 def format_records(records: DataFrame, record_col: str = "record") -> DataFrame:
     """`records` with fingerprint, layout, n_turns, formatted and loss_spans."""
-    names = {"fingerprint", "layout", "n_turns", "formatted", "loss_spans"}
-    own = [F.col(f"`{c}`") for c in records.columns if c.lower() not in names]
+    own = kept(records, ("fingerprint", "layout", "n_turns", "formatted", "loss_spans"))
 
     def f(col: pa.Array) -> pa.Array:
         return format_batch(col)
 
-    mark = "chat_format_struct"
+    mark = spare(records, "chat")
     return records.select(*own, arrow_udf(f, FORMATTED).asNondeterministic()(F.col(f"`{record_col}`")).alias(mark)).select(*own, f"{mark}.*")
 
 

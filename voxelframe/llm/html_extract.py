@@ -7,8 +7,8 @@ the like; an article; a heading).  A small decision tree, trained on `LABELLED`,
 Defined cases: null and empty html give an empty text; comments, scripts, styles and other raw elements are skipped,
 to the end of the page if they aren't closed; drawings, players, embedded objects, lists of choices and templates are
 skipped to their end tag or that of an element around them, and are empty if they close themselves; unclosed tags and pages cut off are read as far as they go; character references are decoded,
-white space inside a block becomes one blank; repeated rows get equal results; other columns pass through, except
-that a same-named input column is replaced.
+white space inside a block becomes one blank; repeated rows get equal results; other columns pass through,
+whatever their names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .columns import kept, spare
+
 #: Element kinds of HTML.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 #: Elements whose markup is read, but whose text is none of the page's.
@@ -310,8 +312,6 @@ def text_of(page: Column, tree: Tree | None = None) -> Column:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", tree: Tree | None = None) -> DataFrame:
     """`pages` with the main text, n_chars (its code points), n_blocks and n_kept."""
-    names = {text_col.lower(), "n_chars", "n_blocks", "n_kept"}
-    own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in names]
-    mark = "html_extract_struct"
+    mark, own = spare(pages, "html_extract"), kept(pages, (text_col, "n_chars", "n_blocks", "n_kept"))
     q = F.col(mark)
     return pages.select(*own, text_of(F.col(f"`{html_col}`"), tree).alias(mark)).select(*own, q.text.alias(text_col), F.length(q.text).cast("long").alias("n_chars"), q.n_blocks.alias("n_blocks"), q.n_kept.alias("n_kept"))

@@ -2,13 +2,13 @@
 
 A forward and a backward GRU read a text's UTF-8 bytes in windows; at every byte both states give a distribution
 over the languages, and a document's probabilities are the mean over all of its bytes.  The network is trained in
-numpy by backpropagation through time on a bounded sample of labelled windows (`Fit.per_lang` documents a language,
-one window of each).  Windows of the same length advance together, so a step is a few small matrix products over
+numpy by backpropagation through time on a bounded sample of labelled rows: about `Fit.per_lang` documents of each
+language and `Fit.most_rows` in all, each with one window at a place drawn over the whole text.  Windows of the same length advance together, so a step is a few small matrix products over
 thousands of windows.  Every byte of every text is labelled; a window starts from the zero state.
 
 Defined cases: a text that is null or has no letter gets `und` with score 0; without training rows every text gets
 `und`; with one language every text with a letter gets it with score 1; repeated rows get equal results; other
-columns pass through, except that a same-named input column is replaced.
+columns pass through, whatever their names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import bytetext as bt
+from .columns import kept, spare
 
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 19
@@ -31,6 +32,7 @@ SLICE_BYTES = 1 << 19
 @dataclass(frozen=True)
 class Fit:
     per_lang: int = 600
+    most_rows: int = 100_000
     window: int = 64
     hidden: int = 8
     steps: int = 260
@@ -228,7 +230,7 @@ def language_of(text: Column, model: Model) -> Column:
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", allowed: Column | None = None, how: Fit = Fit()) -> tuple[list[bytes], list[str]]:
-    """About `how.per_lang` documents of each language, chosen by a hash of their id; one stretch of each reaches the driver."""
+    """About `how.per_lang` documents of each language, `how.most_rows` at most, chosen by a hash of their id; one stretch of each, drawn over the whole text, reaches the driver."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("id is not null and lang is not null and text is not null")
     if allowed is not None:
         rows = rows.where(allowed)
@@ -240,14 +242,12 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wide = 4 * how.window
     place = (F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.greatest(F.lit(1), F.length("text") - wide)) + 1).cast("int")
     sample = rows.where(spread < most).select("id", "lang", F.substring("text", place, F.lit(wide)).alias("text")).where(F.length(F.trim("text")) > 0)
-    got = sample.orderBy(F.xxhash64("id"), "id", "text").limit(2 * how.per_lang * max(1, len(counts))).collect()
+    got = sample.orderBy(F.xxhash64("id"), "id", "text").limit(how.most_rows).collect()
     return [r.text.encode() for r in got], [r.lang for r in got]
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """`docs` with the predicted language, its score (0 to 1) and the number of bytes labelled as that language."""
-    names = {lang_col, score_col, "n_bytes_agreeing"}
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
-    mark = "language_struct"
+    mark, own = spare(docs, "language"), kept(docs, (lang_col, score_col, "n_bytes_agreeing"))
     q = F.col(mark)
     return docs.select(*own, language_of(F.col(f"`{text_col}`"), model).alias(mark)).select(*own, q.lang.alias(lang_col), q.score.alias(score_col), q.n_bytes_agreeing.alias("n_bytes_agreeing"))

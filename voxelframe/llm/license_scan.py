@@ -9,8 +9,8 @@ if its identifiers occur in its order, with others between them or not.  The fir
 licence.  One narrow pass over the text: no shuffle, no join.
 
 Defined cases: null and empty texts have no known sentence and no licence; a sentence that occurs twice is listed
-twice; repeated rows get equal results; other columns pass through, except that a same-named input column is
-replaced.
+twice; repeated rows get equal results; other columns pass through, whatever their
+names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import kept, spare
+
 #: Known sentences, as they are written in the licences and in usual notices.
 SENTENCES = (
     ("mit-notice", "Released under the MIT License."),
@@ -103,8 +105,7 @@ def sentences_of(text: Column, known: list[str]) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", known: tuple = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """`docs` with n_known_sentences, sentence_ids and licenses (joined by blanks and by commas) and primary_license ('' if none)."""
     ids = sentence_table(known)
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in NAMES]
-    mark = "license_scan_found"
+    mark, own = spare(docs, "license_found", *NAMES), kept(docs, NAMES)
     lookup = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     found = docs.select(*own, sentences_of(F.col(f"`{text_col}`"), list(ids)).alias(mark))
     named = found.select(*own, F.size(mark).cast("long").alias(NAMES[0]), F.array_join(F.transform(mark, lambda s: F.element_at(lookup, s)), " ").alias(NAMES[1]))

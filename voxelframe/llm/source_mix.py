@@ -11,12 +11,13 @@ Curriculum: a source's demand at training time t in [0, 1] is its target times a
 the words before a document's pass give that pass's training position.  `training_order` range-sorts by it.
 
 Scale: a document's place in its source is a prefix sum over two levels of hash buckets and the documents of a
-bucket, so no task sees a whole source; buckets follow the row count.  Only per-source totals (one row for each
-source) meet in one task, and they are joined by a broadcast that Spark checks by size (`source_rows` bounds it).
+bucket, so no task sees a whole source; buckets follow the row count.  Only the sources' totals, one row of some 60
+bytes for each, meet in one task, whose windows spill; they are joined as Spark chooses by their size.  So sources
+may be many (10**7 of them are 0.6 GB in that task), though not as many as documents at the largest scale.
 
 Defined cases: null sources are a source of their own, last in order; null texts have size 0; documents of size 0
 take nothing; empty tables and sources without words have targets of 0; repeated rows are documents of their own;
-other columns pass through, except that a same-named input column is replaced.
+other columns pass through, whatever their names, except that an input column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
+from .columns import kept, spare_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 NAMES = ("size", "source_size", "target", "taken", "positions")
@@ -40,7 +42,6 @@ class Mix:
     #: Density at the begin and the end of training by rank of the source, repeating; each pair has the mean 1.
     schedules: tuple[tuple[float, float], ...] = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
     rows_per_bucket: int = 512
-    source_rows: int = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -87,38 +88,40 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     With a `prefix`, the new columns' names begin with it.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {f"{prefix}{n}".lower() for n in NAMES}]
+    own = kept(docs, [f"{prefix}{n}" for n in NAMES])
+    own_names = spare_prefix(docs, "mix_")
+    m = lambda name: own_names + name  # noqa: E731  (columns of the plan's own)
     key = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     name = F.col(f"`{source_col}`").cast("string")
     source = F.concat(F.when(name.isNull(), "1").otherwise("0"), F.coalesce(name, F.lit("")))  # never null; null sources come last
     n = docs.count()
     side = max(4, math.ceil(math.sqrt(max(1, n) / mix.rows_per_bucket)))  # side * side buckets in each source
-    sized = docs.select(*own, source.alias("mix_source"), size_of(F.col(f"`{text_col}`")).alias("mix_size"), key.alias("mix_key"))
-    sized = sized.withColumn("mix_low", F.conv(F.substring("mix_key", 1, 12), 16, 10).cast("bigint") % (side * side))
+    sized = docs.select(*own, source.alias(m("source")), size_of(F.col(f"`{text_col}`")).alias(m("size")), key.alias(m("key")))
+    sized = sized.withColumn(m("low"), F.conv(F.substring(m("key"), 1, 12), 16, 10).cast("bigint") % (side * side))
     # one row for each source and bucket: small, and read three times below
-    sums = Tables(docs.sparkSession).cut(sized.groupBy("mix_source", "mix_low").agg(F.sum("mix_size").alias("words"))).withColumn("mix_high", F.floor(F.col("mix_low") / side))
-    high = sums.groupBy("mix_source", "mix_high").agg(F.sum("words").alias("words"))
-    w_high = Window.partitionBy("mix_source").orderBy("mix_high").rowsBetween(Window.unboundedPreceding, -1)
-    w_low = Window.partitionBy("mix_source", "mix_high").orderBy("mix_low").rowsBetween(Window.unboundedPreceding, -1)
-    first = high.select("mix_source", "mix_high", F.coalesce(F.sum("words").over(w_high), F.lit(0)).alias("high_before"))
-    second = sums.select("mix_source", "mix_high", "mix_low", F.coalesce(F.sum("words").over(w_low), F.lit(0)).alias("low_before"))
-    places = second.join(first, ["mix_source", "mix_high"]).select("mix_source", "mix_low", (F.col("high_before") + F.col("low_before")).alias("mix_bucket_before"))
-    goal = targets(sums.groupBy(F.col("mix_source").alias("source")).agg(F.sum("words").alias("source_size")), mix)
+    sums = Tables(docs.sparkSession).cut(sized.groupBy(m("source"), m("low")).agg(F.sum(m("size")).alias("words"))).withColumn(m("high"), F.floor(F.col(m("low")) / side))
+    high = sums.groupBy(m("source"), m("high")).agg(F.sum("words").alias("words"))
+    w_high = Window.partitionBy(m("source")).orderBy(m("high")).rowsBetween(Window.unboundedPreceding, -1)
+    w_low = Window.partitionBy(m("source"), m("high")).orderBy(m("low")).rowsBetween(Window.unboundedPreceding, -1)
+    first = high.select(m("source"), m("high"), F.coalesce(F.sum("words").over(w_high), F.lit(0)).alias("high_before"))
+    second = sums.select(m("source"), m("high"), m("low"), F.coalesce(F.sum("words").over(w_low), F.lit(0)).alias("low_before"))
+    places = second.join(first, [m("source"), m("high")]).select(m("source"), m("low"), (F.col("high_before") + F.col("low_before")).alias(m("bucket_before")))
+    goal = targets(sums.groupBy(F.col(m("source")).alias("source")).agg(F.sum("words").alias("source_size")), mix)
     begin, end = (_cycle(F.col("rank"), [s[i] for s in mix.schedules]) for i in (0, 1))
-    places = places.join(goal.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_total"), F.col("target").alias("mix_target"), begin.alias("mix_begin"), end.alias("mix_end")), "mix_source")
-    inside = Window.partitionBy("mix_source", "mix_low").orderBy("mix_key", F.col(f"`{id_col}`"), "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("mix_inside", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    joined = placed.join(places, ["mix_source", "mix_low"])
-    at = F.col("mix_bucket_before") + F.col("mix_inside")
-    size, total, target = F.col("mix_size"), F.col("mix_total"), F.round("mix_target").cast("long")
+    places = places.join(goal.select(F.col("source").alias(m("source")), F.col("source_size").alias(m("total")), F.col("target").alias(m("target")), begin.alias(m("begin")), end.alias(m("end"))), m("source"))
+    inside = Window.partitionBy(m("source"), m("low")).orderBy(m("key"), F.col(f"`{id_col}`"), m("size")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn(m("inside"), F.coalesce(F.sum(m("size")).over(inside), F.lit(0)))
+    joined = placed.join(places, [m("source"), m("low")])
+    at = F.col(m("bucket_before")) + F.col(m("inside"))
+    size, total, target = F.col(m("size")), F.col(m("total")), F.round(m("target")).cast("long")
     passes = F.when(total > 0, F.floor(target / total)).otherwise(F.lit(0)).cast("long")
     rest = target - passes * total
     part = F.greatest(F.lit(0), F.least(size, rest - at))
     taken = passes * size + part
     times = (passes + F.when(part > 0, 1).otherwise(0)).cast("int")
-    spot = lambda k: _invert((k * total + at).cast("double") / F.greatest(target, F.lit(1)), F.col("mix_begin"), F.col("mix_end"))
+    spot = lambda k: _invert((k * total + at).cast("double") / F.greatest(target, F.lit(1)), F.col(m("begin")), F.col(m("end")))
     positions = F.when((size > 0) & (times > 0), F.transform(F.sequence(F.lit(0), times - 1), spot)).otherwise(F.array().cast("array<double>"))
-    new = (size, total, F.col("mix_target"), taken.cast("long"), positions)
+    new = (size, total, F.col(m("target")), taken.cast("long"), positions)
     return joined.select(*own, *[c.alias(f"{prefix}{n}") for c, n in zip(new, NAMES, strict=True)])
 
 
@@ -130,12 +133,13 @@ def in_order(rows: DataFrame, position: Column, ties: list[Column], partitions:
 
 
 def passes(planned: DataFrame, columns: list[str], partitions: int | None = None, prefix: str = "") -> DataFrame:
-    """`columns`, pass (from 0), n_words (what the pass takes of the document) and position for each pass of each planned document, range-sorted by position."""
+    """`columns`, pass (from 0), n_words (what the pass takes of the document) and position for each pass of each planned document, range-sorted by position; the new columns replace those of `columns` with their names."""
     size, taken, positions = (F.col(f"{prefix}{n}") for n in ("size", "taken", "positions"))
-    own = [F.col(f"`{c}`") for c in columns]
-    rows = planned.select(*own, size.alias("mix_size"), taken.alias("mix_taken"), F.posexplode(positions).alias("pass", "position"))
-    part = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("pass") * F.col("mix_size"))
-    return in_order(rows.select(*own, F.col("pass").cast("long").alias("pass"), part.alias("n_words"), "position"), F.col("position"), [*own, F.col("pass")], partitions)
+    own = [F.col(f"`{c}`") for c in columns if c.lower() not in ("pass", "n_words", "position")]
+    s, t, k, at = (spare_prefix(planned, "mix_") + x for x in ("size", "taken", "pass", "position"))
+    rows = planned.select(*own, size.alias(s), taken.alias(t), F.posexplode(positions).alias(k, at))
+    part = F.least(F.col(s), F.col(t) - F.col(k) * F.col(s))
+    return in_order(rows.select(*own, F.col(k).cast("long").alias("pass"), part.alias("n_words"), F.col(at).alias("position")), F.col("position"), [*own, F.col("pass")], partitions)
 
 
 def training_order(planned: DataFrame, columns: list[str], least_part: float = 0.5, partitions: int | None = None, prefix: str = "") -> DataFrame:
@@ -147,10 +151,9 @@ def training_order(planned: DataFrame, columns: list[str], least_part: float = 0
     size, taken, positions = (F.col(f"{prefix}{n}") for n in ("size", "taken", "positions"))
     k = F.size(positions)
     last = taken - (k - 1) * size
-    kept = F.when((k > 0) & (last < least_part * size), F.slice(positions, 1, k - 1)).otherwise(positions)
-    own = [F.col(f"`{c}`") for c in columns]
-    rows = planned.select(*own, F.explode(kept).alias("mix_position"))
-    return in_order(rows, F.col("mix_position"), own, partitions).select(*own)
+    whole = F.when((k > 0) & (last < least_part * size), F.slice(positions, 1, k - 1)).otherwise(positions)
+    own, at = [F.col(f"`{c}`") for c in columns], spare_prefix(planned, "mix_") + "position"
+    return in_order(planned.select(*own, F.explode(whole).alias(at)), F.col(at), own, partitions).select(*own)
 
 
 def sql(mix: Mix = Mix(), table: str = "documents") -> str:
