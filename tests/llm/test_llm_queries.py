@@ -129,6 +129,19 @@ def test_op6(spark, duck):
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+def test_op6_tree_decides(duck):
+    """Without the article element the texts are the same; all menus go by the tree alone, which knows no elements."""
+    h, tree, dropped, menus = q.html_extract, q.html_extract.fit_tree(), 0, 0
+    for (page,) in duck.execute("SELECT html FROM pages WHERE html IS NOT NULL").fetchall():
+        text = h.main_text(page, tree)[0]
+        assert h.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"), tree)[0] == text
+        assert h.main_text(page.replace("<nav>", "<div>").replace("</nav>", "</div>"), tree)[0] == text
+        found = h.blocks(page)
+        dropped += sum(not h.classify(tree, x) for x in h.features(found))
+        menus += page.count("<li>")
+    assert dropped >= 0.99 * menus > 0
+
+
 def test_op7(spark, docs):
     from test_operators import plain_bands, plain_rules
 

@@ -480,7 +480,7 @@ TREE = html_extract.fit_tree()
         ("<div id='cookie-notice'>We use cookies on this site to make it better for you and for all.</div><article>x</article>", "x"),
         ("<article><p>cut of", "cut of"),
         ("<article>open <script>never closed <p>gone", "open"),
-        ("<div>" * 3000 + "deep", ""),
+        ("<div>" * 3000 + "deep", "deep"),
     ],
 )
 def test_html(page, text):
@@ -506,6 +506,38 @@ def test_html_skipped_elements(page, text):
     assert html_extract.main_text(page, TREE)[0] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>a</p><span class='ad'>buy <span>now</span> cheap</span><p>b</p></article>", "a b"),
+        ("<article><p>a</p><a class='ad' href=x><div>no <a>no</a></div><p>b</p></a></article>", "a"),
+        ("<article><p>a</p><ul><li class='comment'><p>Great post, and a long one</p><p>no</p><li>b</ul><p>c</p></article>", "a b c"),
+        ("<article><ul><li class='comment'>no<ul><li>no</li></ul>no</li><li>b</li></ul></article>", "b"),
+        ("<article><p class='ad'>no<p>a<p id=notice>no<div>b</div></article>", "a b"),
+        ("<article><table><tr><td class='ad'>no<td>a<tr class='ads'><td>no<td>no<tr><td>b</table></article>", "a b"),
+        ("<article><dl><dt class=promo>no<dd>a<dt>b</dl></article>", "a b"),
+        ("<article><div class='legal-news'><p>a</p></div><p class='menu-review'>b</p><section id='related-work'>c</section></article>", "a b c"),
+        ("<article><div class='comment-list'>no</div><div id='siteFooter'>no</div><div class='x ad-unit-2'>no</div><p>a</p></article>", "a"),
+        ("<article><p>let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>no</annotation></math> be</p></article>", "let x=1 be"),
+        ("<article><p title='a hidden thing' data-id='ad'>a</p><p hidden>no</p><p style='DISPLAY: none'>no</p><p aria-hidden=true>no</p></article>", "a"),
+        ("<body class='comments'><article class='notice'><p>a</p></article><article class='comment'><p>no</p></article>", "a"),
+    ],
+)
+def test_html_marked_elements(page, text):
+    assert html_extract.main_text(page, TREE)[0] == text
+
+
+def test_tree_knows_no_element_names():
+    """Lists of links go and text stays, whatever the elements are called; links among text stay."""
+    words = lambda n: " ".join(f"w{k}" for k in range(n))
+    links = "".join(f"<div><a href=/{k}>Link {k}</a></div>" for k in range(5))
+    text = f"<div>{words(4)}</div><div>{words(50)}</div><div><a href=x>{words(3)}</a></div><div>{words(30)} <a>{words(9)}</a></div><div>x</div>"
+    want = f"{words(4)} {words(50)} {words(3)} {words(30)} {words(9)} x"
+    for a, b in (("", ""), ("<article>", "</article>"), ("<div>", "</div>"), ("<section><div>", "</div></section>")):
+        assert html_extract.main_text(f"<body>{links}{a}{text}{b}{links}", TREE)[0] == want
+    assert html_extract.main_text(f"{links}<div>Menu</div>{links}", TREE)[0] == ""
+
+
 def test_html_skipped_elements_are_linear():
     for page in ("<svg>" + "<title/>" * 20000, "<svg/>" * 20000, "<video><p>" * 20000, "<script/>" * 20000):
         html_extract.main_text(page, TREE)
@@ -518,7 +550,7 @@ def test_html_without_article_element():
 
 
 def test_html_hostile_pages_are_linear():
-    for page in ("<" * 50000, "<a " + '"x' * 50000, "<p>" + "a'" * 50000, "<!--" * 20000, "<p " + "a=" * 50000):
+    for page in ("<" * 50000, "<a " + '"x' * 50000, "<p>" + "a'" * 50000, "<!--" * 20000, "<p " + "a=" * 50000, "<p " + "a=\"'" * 50000 + ">", "<p class=ad>" * 20000, "<span class=ad>" * 3000, "<li class=ad><ul>" * 20000 + "<li>" * 20000, "<div>" * 40000 + "</p></section>" * 40000, "<span class=ad>" + "<div>" * 20000 + "<span>" * 20000):
         html_extract.main_text(page, TREE)
 
 
