@@ -737,7 +737,7 @@ def test_chat_rows(spark):
 
 def plain_top(rows, k):
     out = []
-    use = [(i, n, v) for n, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)]
+    use = [(i, n, v) for n, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, _, v in use), default=0)
     pad = lambda v: np.array(list(v) + [0.0] * (width - len(v)))
     for i, n, v in use:
@@ -747,14 +747,14 @@ def plain_top(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("blocks", [1, 7])
-def test_vectors_equal_all_pairs(spark, blocks):
+@pytest.mark.parametrize("how", [vector_search.Search(least_blocks=1), vector_search.Search(least_blocks=7, tile=16, batch=3, groups=2), vector_search.Search(block_bytes=400, least_blocks=2)])
+def test_vectors_equal_all_pairs(spark, how):
     rng = np.random.default_rng(0)
     rows = [(int(i), [float(x) for x in rng.integers(-30, 30, 6)]) for i in range(150)]
     rows += [(200 + i, [5.0] * 6) for i in range(40)] + [(20, [5.0] * 6), (40, rows[40][1]), (40, rows[40][1]), (None, [9.0] * 6), (7, rows[7][1])]
     rows += [(60, None), (80, []), (300, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (320, [float("nan")] * 6), (340, [float("inf")] * 6), (360, [4.0, -4.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id bigint, embedding array<double>, score string")
-    got = vector_search.top_k(df, F.col("id") % 20 == 0, k=5, integer=True, least_blocks=blocks, query_rows=4)
+    got = vector_search.top_k(df, F.col("id") % 20 == 0, k=5, integer=True, how=how)
     assert sorted(((*r[:3], float(r[3])) for r in got.collect()), key=str) == plain_top(rows, 5)
 
 
@@ -766,16 +766,41 @@ def test_vectors_few_or_none(spark):
     assert vector_search.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema), F.col("id") % 20 == 0).count() == 1
 
 
+def test_vectors_of_reals_and_copies(spark):
+    """A third of the rows have one vector, and all of them are queries; the others are reals of many sizes."""
+    rng = np.random.default_rng(3)
+    same = rng.normal(size=4).tolist()
+    rows = [(20 * i, same) for i in range(60)] + [(int(i), (rng.normal(size=4) * 10.0 ** rng.integers(-3, 4)).tolist()) for i in range(2001, 2101)] + [(3000, [0.0] * 4), (3020, [1e150, -1e150, 1e-150, 0.0]), (3040, [])]
+    got = vector_search.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("id") % 20 == 0, k=7, how=vector_search.Search(least_blocks=3)).collect()
+    want = plain_top(rows, 7)
+    assert [r[:3] for r in sorted((tuple(r) for r in got), key=str)] == [r[:3] for r in want]
+    assert np.allclose([r[3] for r in sorted((tuple(r) for r in got), key=str)], [r[3] for r in want], rtol=1e-9)
+
+
 def test_vector_bounds_hold():
     rng = np.random.default_rng(1)
-    x, q = rng.normal(size=(300, 16)), rng.normal(size=(9, 16))
-    lower, upper = vector_search.VAFile(x, 3).bounds(q)
-    assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
+    for scale, shift in ((1.0, 0.0), (1e-9, 1e3), (1e120, 0.0)):
+        x, q = rng.normal(size=(300, 16)) * scale + shift, rng.normal(size=(9, 16))
+        grid = vector_search.Grid.over(x.min(0), x.max(0))
+        lower, upper = vector_search.bounds(grid, grid.cells(x), q)
+        assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
+
+
+def test_vector_scan_reads_little():
+    """Of 20,000 vectors a query reads less than 1 % exactly, and finds what the dense product finds."""
+    rng = np.random.default_rng(2)
+    x = np.floor(64 * rng.normal(size=(20000, 32)) / 6)
+    block = vector_search.Block(x, np.arange(20000), vector_search.Grid.over(x.min(0), x.max(0)))
+    query, vector, score = block.search(x[:64], 21, True)
+    dense = x[:64] @ x.T
+    want = [np.lexsort((np.arange(20000), -s))[:21] for s in dense]
+    assert np.array_equal(vector.reshape(64, 21), want) and np.array_equal(score.reshape(64, 21), np.take_along_axis(dense, np.array(want), 1))
+    assert block.cells.dtype == np.uint8 and block.reads < 64 * 200
 
 
 def test_large_whole_numbers_are_exact():
-    q, x = np.array([2.0**30, 1.0]), np.array([[2.0**30, 1.0], [2.0**30, -1.0]])
-    assert vector_search._exact(q, x, True).tolist() == [float(2**60 + 1), float(2**60 - 1)]
+    q, x = np.array([[2.0**30, 1.0]] * 2), np.array([[2.0**30, 1.0], [2.0**30, -1.0]])
+    assert vector_search.exact(q, x, True).tolist() == [float(2**60 + 1), float(2**60 - 1)]
 
 
 def test_digest():

@@ -94,7 +94,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTOR_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::double*64)) AS x FROM embeddings),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::double*64)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x)))=0),
  scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint AS score FROM v q JOIN v c ON q.vec_id%20=0 AND q.vec_id<>c.vec_id)
 SELECT query_id, rank::int AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank<=20"""
 
