@@ -667,7 +667,7 @@ def test_license_sql_on_odd(spark, odd, duck):
     assert sorted(map(str, map(tuple, license_scan.scan(odd.select("doc_id", "text")).drop("text").collect()))) == sorted(str(tuple(None if x != x else int(x) if isinstance(x, float) else x for x in r)) for r in want)
 
 
-def test_license_wrapped_files(spark):
+def test_license_wrapped_files(spark, duck):
     """Hard-wrapped licences and headers, plain and as comments; empty lines and other words still end a sentence."""
     import textwrap
 
@@ -685,9 +685,29 @@ def test_license_wrapped_files(spark):
             want += ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0"]
     texts += [texts[0].replace("\n", "\r\n"), "All rights\n\nreserved.", "see: all rights\nreserved, or not", "we say all rights\nreserved.", "MIT License\nCopyright (c) 2020", "Licensed under the Apache License, Version 2.0\n(the \"License\"); more"]
     want += ["MIT", "", "", "", "", ""]
-    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    headers = {
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+    }
+    for name, t in headers.items():
+        texts += [fill(t, width, mark) for width, mark in ((1000, ""), (78, ""), (60, " * "), (70, "dnl "))]
+        want += [name] * 4
+    texts += ["dnl\ndnl All rights\ndnl reserved.\ndnl\nAll rights reserved", ";; dnl\nMIT License\n\n; MIT License ;", "MIT License|MIT License", "MIT License\nMIT License\nMIT\nLicense"]
+    want += ["all rights reserved", "", "", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = license_scan.scan(df).orderBy("doc_id").collect()
     assert [r.primary_license for r in got] == want
-    assert got[0].sentence_ids == "mit-title mit-grant mit-condition as-is" and got[-2].sentence_ids == "mit-title" and got[-1].sentence_ids == "apache-header"
+    duck.register("wrapped_docs", df.toPandas())
+    assert [tuple(r) for r in license_scan.scan(df).drop("text").orderBy("doc_id").collect()] == duck.execute(license_scan.sql("wrapped_docs") + " ORDER BY doc_id").fetchall()
+    assert got[0].sentence_ids == "mit-title mit-grant mit-condition as-is"
+    by_text = {t: r.sentence_ids for t, r in zip(texts, got)}
+    assert by_text["MIT License\nCopyright (c) 2020"] == "mit-title" and by_text["Licensed under the Apache License, Version 2.0\n(the \"License\"); more"] == "apache-header"
     assert license_scan.scan(spark.createDataFrame([(". " * 200000 + "\n" * 200000 + "All rights\nreserved",)], "text string")).head().sentence_ids == "reserved"
 
 

@@ -3,10 +3,9 @@
 A text is normalised (runs of characters other than ASCII letters, digits, `.!?;:` and line feeds become one blank;
 lower case).  Known licence sentences are found in it between borders: line feeds, and `.!?;:` before a blank.  A
 single line feed, with the mark of a comment or without, may also stand for a blank inside a sentence, so wrapped
-licences and headers count; where several known sentences begin, the longest is taken.  The SQL knows no wrapped
-sentences: it gives the same rows where each known sentence stands on one line.  The identifiers found, in text order, are matched against ordered rules: a rule holds
-if its identifiers occur in its order, with others between them or not.  The first rule that holds gives the primary
-licence.  One narrow pass over the text: no shuffle, no join.
+licences and headers count; where several known sentences begin, the longest is taken.  The identifiers found, in
+text order, are matched against ordered rules: a rule holds if its identifiers occur in its order, with others between
+them or not.  The first rule that holds gives the primary licence.  One narrow pass over the text: no shuffle, no join.
 
 Defined cases: null and empty texts have no known sentence and no licence; a sentence that occurs twice is listed
 twice; repeated rows get equal results; other columns pass through, whatever their
@@ -40,6 +39,14 @@ SENTENCES = (
     ("gpl3-notice", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl3-notice", "Licensed under the GNU General Public License, version 3."),
     ("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"),
+    ("gpl2-version", "either version 2 of the License, or (at your option) any later version."),
+    ("gpl2-only", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("gpl3-version", "either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"),
+    ("lgpl21-version", "either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl3-free", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl3-free", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-hope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
     ("gpl-copy", "You should have received a copy of the GNU General Public License along with this program."),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
@@ -51,6 +58,16 @@ SENTENCES = (
     ("cc-by-sa-notice", "Licensed under CC BY-SA 4.0."),
     ("cc-by-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0-notice", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("mpl2-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0bsd-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("zlib-as-is", "This software is provided 'as-is', without any express or implied warranty."),
+    ("zlib-grant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("boost-grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("epl2-notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
     ("reserved", "All rights reserved."),
 )
 #: Licence and the identifiers that show it, in order; earlier rules come first.
@@ -60,6 +77,20 @@ RULES = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-header", "apache-condition", "apache-copy")),
     ("GPL-3.0", ("gpl-free", "gpl-hope")),
+    ("GPL-3.0", ("gpl-terms", "gpl3-version")),
+    ("GPL-2.0", ("gpl-terms", "gpl2-version")),
+    ("GPL-2.0", ("gpl2-only",)),
+    ("LGPL-2.1", ("lgpl-terms", "lgpl21-version")),
+    ("LGPL-3.0", ("lgpl-terms", "gpl3-version")),
+    ("LGPL-3.0", ("lgpl3-free",)),
+    ("AGPL-3.0", ("agpl3-free",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2-notice",)),
     ("MIT", ("mit-title", "mit-grant")),
     ("MIT", ("mit-notice",)),
     ("Apache-2.0", ("apache-notice",)),
@@ -136,10 +167,22 @@ def sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text"
         cond[short] = f"({cond[short]} AND NOT {cond[longer]})"
     listed = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN {quote(n)} END" for n, c in cond.items()) + ")"
     first = "CASE " + " ".join(f"WHEN {holds(seq)} THEN {quote(n)}" for n, seq in RULES) + " ELSE '' END"
-    flat = f"lower(regexp_replace(coalesce({text_col}, ''), '[^A-Za-z0-9.!?;:\\n]+', ' ', 'g'))"
+    # RE2 looks at nothing without taking it, so line feeds and bars are doubled: a sentence takes the inner halves
+    steps = (
+        ("[^A-Za-z0-9.!?;:\n]+", " "),
+        ("\n", "\n\n"),
+        ("(^|\n) ?(?:dnl|rem)(\n|$)", r"\1\2"),
+        ("(^|\n) ?(?:[;!]+ ?|(?:dnl|rem) )", r"\1"),
+        ("[.!?;:] [ .!?;:]*", "||"),
+    )
+    flat = f"coalesce({text_col}, '')"
+    for i, (pattern, new) in enumerate(steps):
+        flat = f"regexp_replace({flat}, {quote(pattern)}, {quote(new)}, 'g')"
+        flat = flat if i else f"lower({flat})"
+    either = "|".join("(?: | ?\n\n ?)".join(w.replace(".", "[.]").replace("?", "[?]") for w in x.split(" ")) for x in sorted(ids, key=len, reverse=True))
+    found = f"regexp_extract_all('|' || {flat} || '|', {quote(f'[|' + chr(10) + '][ .!?;:]*(' + either + ')[ .!?;:]*[|' + chr(10) + ']')}, 1)"
     return f"""
-WITH pieces AS (SELECT {id_col}, list_transform(regexp_split_to_array({flat}, '\\n|[.!?;:] '), lambda s: trim(s, ' .!?;:')) AS p FROM {table}),
-found AS (SELECT {id_col}, list_filter(p, lambda s: list_contains([{keys}], s)) AS f FROM pieces),
+WITH found AS (SELECT {id_col}, list_transform({found}, lambda s: regexp_replace(s, {quote(" ?" + chr(10) * 2 + " ?")}, ' ', 'g')) AS f FROM {table}),
 named AS (SELECT {id_col}, len(f) AS n_known_sentences, coalesce(array_to_string(list_transform(f, lambda s: [{values}][list_position([{keys}], s)]), ' '), '') AS sentence_ids FROM found),
 lined AS (SELECT *, ' ' || replace(sentence_ids, ' ', '  ') || ' ' AS line FROM named)
 SELECT {id_col}, n_known_sentences::bigint AS n_known_sentences, sentence_ids, {listed} AS licenses, {first} AS primary_license FROM lined"""
