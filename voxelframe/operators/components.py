@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..plans.tables import Tables
@@ -26,18 +26,21 @@ def connected_components(edges: DataFrame, tables: Tables, rounds: int = 64) ->
     """
     a, b = F.col("a"), F.col("b")
     loops = edges.where(a == b).select(a.alias("node"), b.alias("root"))
-    now = tables.cut(edges.where(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    seen = Observation()  # the edges' number and sum are found as they are written
+    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    now = tables.cut(edges.where(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().observe(seen, *marks))
+    mark, found = None, seen.get
     for _ in range(rounds):
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-        if (found.n, found["sum"]) == mark or not found.n:
+        if (found["n"], found["sum"]) == mark or not found["n"]:
             break
-        mark = (found.n, found["sum"])
+        mark = (found["n"], found["sum"])
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         far, low = _lowest(both, tables)
         large = tables.cut(far.where(b > a).select(b.alias("a"), F.least("a", "low").alias("b")).distinct())
         near, low_near = _lowest(large, tables)
-        new = tables.cut(near.select(b.alias("a"), F.col("low").alias("b")).where(a != b).unionByName(near.select("a", F.col("low").alias("b"))).distinct())
+        seen = Observation()
+        new = tables.cut(near.select(b.alias("a"), F.col("low").alias("b")).where(a != b).unionByName(near.select("a", F.col("low").alias("b"))).distinct().observe(seen, *marks))
+        found = seen.get
         for read in (now, low, large, low_near):  # the new edges are written: nothing reads these again
             tables.drop(read)
         now = new

@@ -87,7 +87,7 @@ class Grid:
 
     low: tuple[float, ...]
     high: tuple[float, ...]
-    cells: int
+    cells: int | tuple[int, ...]
 
     @staticmethod
     def over(triangles: DataFrame, axes: tuple[str, ...], faces_per_cell: float = 100.0) -> Grid:
@@ -97,15 +97,32 @@ class Grid:
         row = triangles.agg(F.count("*"), *low, *high).first()
         return Grid(tuple(row[1 : 1 + len(axes)]), tuple(row[1 + len(axes) :]), max(1, int((row[0] / faces_per_cell) ** (1 / len(axes)))))
 
+    @staticmethod
+    def fitted(triangles: DataFrame, axes: tuple[str, ...], windows: tuple[float, ...], most: int = 4096) -> Grid:
+        """For range joins: cells as wide as a face is on the mean, or as the windows are if these are wider, on each axis.
+
+        So a face and a window lie in few cells, and a cell holds few faces, however fine the mesh is.
+        """
+        low = [F.least(*[F.min(f"{a}{k}") for k in (1, 2, 3)]) for a in axes]
+        high = [F.greatest(*[F.max(f"{a}{k}") for k in (1, 2, 3)]) for a in axes]
+        mean = [F.avg(F.greatest(*[F.col(f"{a}{k}") for k in (1, 2, 3)]) - F.least(*[F.col(f"{a}{k}") for k in (1, 2, 3)])) for a in axes]
+        row, n = triangles.agg(*low, *high, *mean).first(), len(axes)
+        wide = [max(m or 0.0, w) for m, w in zip(row[2 * n :], windows, strict=True)]
+        cells = [max(1, min(most, int((b - a) / w))) if w and a is not None else 1 for a, b, w in zip(row[:n], row[n : 2 * n], wide, strict=True)]
+        return Grid(tuple(row[:n]), tuple(row[n : 2 * n]), tuple(cells))
+
+    def count(self, axis: int) -> int:
+        return self.cells if isinstance(self.cells, int) else self.cells[axis]
+
     def cell(self, x: Column, axis: int) -> Column:
         """The cell of a coordinate, by the width of a cell; coordinates outside go to the border cells."""
-        width = F.lit((self.high[axis] - self.low[axis]) / self.cells)
-        return F.least(to_index((x - F.lit(self.low[axis])) / width), F.lit(self.cells - 1))
+        width = F.lit((self.high[axis] - self.low[axis]) / self.count(axis))
+        return F.least(to_index((x - F.lit(self.low[axis])) / width), F.lit(self.count(axis) - 1))
 
     def view_cell(self, x: Column, axis: int) -> Column:
         """The cell of a view's border, by the share of the whole."""
         share = (x - F.lit(self.low[axis])) / F.lit(self.high[axis] - self.low[axis])
-        return F.least(to_index(share * float(self.cells)), F.lit(self.cells - 1))
+        return F.least(to_index(share * float(self.count(axis))), F.lit(self.count(axis) - 1))
 
 
 def bounds(axis: str) -> tuple[Column, Column]:
@@ -129,8 +146,8 @@ def grid_range_join(triangles: DataFrame, windows: DataFrame, grid: Grid, axes:
     is made in the first of them only: no distinct, no shuffle after the join.
     """
     w = windows
-    for k, a in enumerate(axes):
-        w = w.withColumn(f"first{k}", grid.view_cell(F.col(f"low_{a}"), k)).withColumn(f"bin{k}", F.explode(F.sequence(F.col(f"first{k}"), grid.view_cell(F.col(f"high_{a}"), k))))
+    for k, a in enumerate(axes):  # one rule for both sides: a border that rounds apart would lose pairs in narrow cells
+        w = w.withColumn(f"first{k}", grid.cell(F.col(f"low_{a}"), k)).withColumn(f"bin{k}", F.explode(F.sequence(F.col(f"first{k}"), grid.cell(F.col(f"high_{a}"), k))))
     met = binned(triangles, grid, axes).join(w, [f"bin{k}" for k in range(len(axes))])
     overlap, once = F.lit(True), F.lit(True)
     for k, a in enumerate(axes):
@@ -256,11 +273,21 @@ def outline(top: DataFrame, target: tuple[int, int, int]) -> DataFrame:
 def uv_to_xyz(points: DataFrame, triangles: DataFrame, surface: Surface, grid: Grid, key: str) -> DataFrame:
     """`points` (key, u, v, w in surface pixels) with x, y, z (int) of the first face that holds them, else -1.
 
-    Faces are tried cell by cell; a point lies in one cell, so the first is the least face of its cell.
+    Faces are tried cell by cell of `grid`; a point lies in one cell, so the first is the least face of its cell.
+    Points meet faces in bins of pixels as wide as a face is on the mean, so only faces near a point are tried; a face
+    that does not touch the point's cell is none of them.
     """
     ut, vt = F.col("u") / float(surface.width), surface.v(F.col("v") / float(surface.height))
-    at = points.select(key, "u", "v", "w", grid.view_cell(ut, 0).alias("bin0"), grid.view_cell(vt, 1).alias("bin1"))
-    met = surface.pixel_corners(binned(triangles, grid, ("tu", "tv"))).join(at, ["bin0", "bin1"])
+    faces = surface.pixel_corners(triangles)
+    ends = {a: (F.least(*[F.col(f"p{a}{k}") for k in (1, 2, 3)]), F.greatest(*[F.col(f"p{a}{k}") for k in (1, 2, 3)])) for a in "uv"}
+    wide = faces.agg(*[F.avg(high - low).alias(a) for a, (low, high) in ends.items()]).first()
+    size = {a: max(1, round(wide[a] or 1)) for a in "uv"}
+    bin_of = lambda c, a: F.floor(c / F.lit(size[a]))
+    at = points.select(key, "u", "v", "w", grid.view_cell(ut, 0).alias("cell0"), grid.view_cell(vt, 1).alias("cell1"), bin_of(F.col("u"), "u").alias("bin0"), bin_of(F.col("v"), "v").alias("bin1"))
+    for k, a in enumerate("uv"):
+        low, high = bounds(f"t{a}")
+        faces = faces.withColumns({f"low{k}": grid.cell(low, k), f"high{k}": grid.cell(high, k)}).withColumn(f"bin{k}", F.explode(F.sequence(bin_of(ends[a][0], a), bin_of(ends[a][1], a))))
+    met = faces.join(at, ["bin0", "bin1"]).where("cell0 between low0 and high0 and cell1 between low1 and high1")
     w = _weights(F.col("u"), F.col("v"))
     met = met.withColumns({f"w{k}": w[k] for k in range(3)}).where("w0 >= 0 and w1 >= 0 and w2 >= 0 and w0 + w1 + w2 > 0")
     n = lambda c: F.when(F.col("w") == 0, 0.0).otherwise(F.col(f"n{c}"))

@@ -8,12 +8,14 @@ Spark finds it small.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import byte_at
 from ..functions.num import idiv, to_index, to_u8, trilinear
+from ..plans.tables import Tables
 
 CORNERS = [(k & 1, k >> 1 & 1, k >> 2) for k in range(8)]
 
@@ -55,39 +57,68 @@ def trilinear_sample(points: DataFrame, voxels: DataFrame, key: str, strict: boo
     return _blend(points, pivot, key, strict)
 
 
-def trilinear_in_chunks(points: DataFrame, chunks: DataFrame, key: str, edge: int, strict: bool = False) -> DataFrame:
+Edges = int | tuple[int, int, int]  # of a chunk, in voxels along x, y and z
+
+
+def edges_of(edge: Edges) -> tuple[int, int, int]:
+    return (edge,) * 3 if isinstance(edge, int) else tuple(edge)  # type: ignore[return-value]
+
+
+def _in_chunk(edge: tuple[int, int, int], off: tuple[int, int, int] = (0, 0, 0)) -> Column:
+    """The byte in chunk (cx, cy, cz, data) of the voxel `off` from (_x, _y, _z); null if it lies in another chunk."""
+    here, index, size = F.lit(True), F.lit(0), 1
+    for c, d, e in zip("xyz", off, edge, strict=True):
+        here = here & (idiv(F.col(f"_{c}") + d, e) == F.col(f"c{c}"))
+        index = index + (F.col(f"_{c}") + d) % e * size
+        size *= e
+    return F.when(here, byte_at(F.col("data"), index))
+
+
+def _asked(at: DataFrame, edge: tuple[int, int, int], keep: list[str]) -> DataFrame:
+    """`at` (keep, _x, _y, _z) with a row for each distinct chunk that the corners of a point's cell lie in, mostly one."""
+    keys = F.array_distinct(F.array(*[F.struct(*[idiv(F.col(f"_{c}") + d, e).alias(f"c{c}") for c, d, e in zip("xyz", off, edge, strict=True)]) for off in CORNERS]))
+    return at.withColumn("k", F.explode(keys)).select(*keep, "_x", "_y", "_z", "k.*")
+
+
+def trilinear_in_chunks(points: DataFrame, chunks: DataFrame, key: str, edge: Edges, strict: bool = False) -> DataFrame:
     """The same from chunks (cx, cy, cz, data; x fastest).
 
     A point asks once for each distinct chunk its corners lie in, mostly one, and takes all its corners from that
     chunk's bytes at once.  Only chunks that are asked for reach the join.
     """
-    base = {c: to_index(F.col(f"p{c}")) for c in "xyz"}
-    at = points.select(key, *[b.alias(f"_{c}") for c, b in base.items()])
-    keys = F.array_distinct(F.array(*[F.struct(*[idiv(F.col(f"_{c}") + d, edge).alias(f"c{c}") for c, d in zip("xyz", off, strict=True)]) for off in CORNERS]))
-    asks = at.withColumn("k", F.explode(keys)).select(key, "_x", "_y", "_z", "k.*")
+    e = edges_of(edge)
+    asks = _asked(points.select(key, *[to_index(F.col(f"p{c}")).alias(f"_{c}") for c in "xyz"]), e, [key])
     wanted = chunks.join(asks.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi")
     got = asks.join(wanted.select("cx", "cy", "cz", "data"), ["cx", "cy", "cz"])
-
-    def corner(off: tuple[int, int, int]) -> Column:
-        here, index = F.lit(True), F.lit(0)
-        for c, d, size in zip("xyz", off, (1, edge, edge * edge), strict=True):
-            here = here & (idiv(F.col(f"_{c}") + d, edge) == F.col(f"c{c}"))
-            index = index + (F.col(f"_{c}") + d) % edge * size
-        return F.when(here, byte_at(F.col("data"), index))
-
-    pivot = got.groupBy(key).agg(*[F.max(corner(off)).alias(f"c{k}") for k, off in enumerate(CORNERS)])
+    pivot = got.groupBy(key).agg(*[F.max(_in_chunk(e, off)).alias(f"c{k}") for k, off in enumerate(CORNERS)])
     return _blend(points, pivot, key, strict)
 
 
-def nearest_in_chunks(points: DataFrame, chunks: DataFrame, edge: int, default: int = 0) -> DataFrame:
+def nearest_in_chunks(points: DataFrame, chunks: DataFrame, edge: Edges, default: int = 0) -> DataFrame:
+    e = edges_of(edge)
     at = points.withColumns({f"_{c}": to_index(F.col(f"p{c}")) for c in "xyz"})
-    at = at.withColumns({f"c{c}": idiv(F.col(f"_{c}"), edge) for c in "xyz"})
-    index = F.col("_z") % edge * (edge * edge) + F.col("_y") % edge * edge + F.col("_x") % edge
+    at = at.withColumns({f"c{c}": idiv(F.col(f"_{c}"), n) for c, n in zip("xyz", e, strict=True)})
     wanted = chunks.join(at.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi").select("cx", "cy", "cz", "data")
-    out = at.join(wanted, ["cx", "cy", "cz"], "left").withColumn("v", F.coalesce(byte_at(F.col("data"), index), F.lit(default)))
+    out = at.join(wanted, ["cx", "cy", "cz"], "left").withColumn("v", F.coalesce(_in_chunk(e), F.lit(default)))
     return out.drop("_x", "_y", "_z", "cx", "cy", "cz", "data")
 
 
+def _level_by_level(points: DataFrame, key: str, levels: list[int], sample) -> DataFrame:
+    """`points` with v of the first of `levels` that knows them, else 0; `sample(points, level)` gives v, null where unknown.
+
+    Points that a level knows are done; only the others ask the next, so a level is written before the next begins.
+    """
+    tables = Tables(points.sparkSession)
+    left, done = points, None
+    for level in levels:
+        got = tables.cut(sample(left, level).select(*points.columns, "v"))
+        known = got.where("v is not null")
+        done = known if done is None else done.unionByName(known)
+        left = got.where("v is null").drop("v")
+    rest = left.withColumn("v", F.lit(0))
+    return rest if done is None else done.unionByName(rest)
+
+
 def nearest_pyramid(points: DataFrame, levels: DataFrame, key: str, finest: int = 0, coarsest: int = 3) -> DataFrame:
     """`points` with v of the finest level, from `finest` on, that holds their voxel; 0 if none does.
 
@@ -102,24 +133,19 @@ def nearest_pyramid(points: DataFrame, levels: DataFrame, key: str, finest: int
     return points.join(best, key, "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
+def _scaled(points: DataFrame, level: int) -> DataFrame:
+    """`points` in voxels of a level, their own coordinates kept."""
+    return points.withColumns({f"full_{c}": F.col(f"p{c}") for c in "xyz"} | {f"p{c}": F.col(f"p{c}") / float(1 << level) for c in "xyz"})
+
+
+def _unscaled(points: DataFrame) -> DataFrame:
+    return points.withColumns({f"p{c}": F.col(f"full_{c}") for c in "xyz"}).drop(*[f"full_{c}" for c in "xyz"])
+
+
 def trilinear_pyramid(points: DataFrame, levels: DataFrame, key: str, finest: int = 0, coarsest: int = 3) -> DataFrame:
     """`points` with the interpolated v of the finest level that has all eight corners; 0 if none has."""
-    level = F.explode(F.array(*map(F.lit, range(finest, coarsest + 1))))
-    scaled = points.select(key, "px", "py", "pz", level.alias("level"))
-    scaled = scaled.select(key, "level", *[(F.col(f"p{c}") / F.pow(F.lit(2.0), F.col("level"))).alias(f"p{c}") for c in "xyz"])
-    base = [to_index(F.col(f"p{c}")) for c in "xyz"]
-    corner = F.array(*[F.struct(F.lit(k).alias("k"), *[(b + d).alias(c) for b, d, c in zip(base, off, "xyz", strict=True)]) for k, off in enumerate(CORNERS)])
-    asks = scaled.select(key, "level", F.explode(corner).alias("c")).select(key, "level", "c.*")
-    vox = levels.select("level", *[F.col(c).cast("bigint").alias(c) for c in "xyz"], "v")
-    pivot = asks.join(vox, ["level", "x", "y", "z"]).groupBy(key, "level").agg(F.count("*").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"c{k}") for k in range(8)]).where("n = 8")
-    best = pivot.groupBy(key).agg(F.min(F.struct("level", *[f"c{k}" for k in range(8)])).alias("b")).select(key, "b.*")
-    out = points.join(best, key, "left")
-    part = []
-    for c in "xyz":
-        p = F.col(f"p{c}") / F.pow(F.lit(2.0), F.col("level"))
-        part.append(p - F.floor(p))
-    v = to_u8(trilinear([F.col(f"c{k}").cast("double") for k in range(8)], *part))
-    return out.withColumn("v", F.coalesce(v, F.lit(0))).drop("level", *[f"c{k}" for k in range(8)])
+    of = lambda left, level: _unscaled(trilinear_sample(_scaled(left, level), levels.where(F.col("level") == level), key, strict=True))
+    return _level_by_level(points, key, list(range(finest, coarsest + 1)), of)
 
 
 @dataclass(frozen=True)
@@ -140,7 +166,7 @@ class Chunks:
     """A volume as chunks (cx, cy, cz, data) of `edge` voxels, x fastest."""
 
     rows: DataFrame
-    edge: int
+    edge: Edges
 
     def nearest(self, points: DataFrame, key: str) -> DataFrame:
         return nearest_in_chunks(points, self.rows, self.edge)
@@ -164,7 +190,44 @@ class Pyramid:
         return trilinear_pyramid(points, self.rows, key, self.finest, self.coarsest)
 
 
-Volume = Voxels | Chunks | Pyramid
+@dataclass(frozen=True)
+class ChunkPyramid:
+    """A volume as chunks of several levels (level, cx, cy, cz, data); `edges` has the levels' chunk edges, finest first.
+
+    A voxel of level s is 2**s voxels wide.  The finest level that has a point's chunk answers; only points that it
+    does not know ask the next, and only chunks that are asked for are decoded.  No chunk becomes voxel rows.
+    """
+
+    rows: DataFrame
+    edges: tuple[Edges, ...]
+    finest: int = 0
+
+    def _levels(self) -> list[int]:
+        return list(range(self.finest, len(self.edges)))
+
+    def nearest(self, points: DataFrame, key: str) -> DataFrame:
+        def one(left: DataFrame, level: int) -> DataFrame:
+            chunks, e = self.rows.where(F.col("level") == level).drop("level"), edges_of(self.edges[level])
+            at = left.withColumns({f"_{c}": F.call_function("shiftright", to_index(F.col(f"p{c}")), F.lit(level)) for c in "xyz"})
+            at = at.withColumns({f"c{c}": idiv(F.col(f"_{c}"), n) for c, n in zip("xyz", e, strict=True)})
+            wanted = chunks.join(at.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi").select("cx", "cy", "cz", "data")
+            return at.join(wanted, ["cx", "cy", "cz"], "left").withColumn("v", _in_chunk(e))
+
+        return _level_by_level(points, key, self._levels(), one)
+
+    def trilinear(self, points: DataFrame, key: str) -> DataFrame:
+        of = lambda left, level: _unscaled(trilinear_in_chunks(_scaled(left, level), self.rows.where(F.col("level") == level).drop("level"), key, self.edges[level], strict=True))
+        return _level_by_level(points, key, self._levels(), of)
+
+
+class Volume(Protocol):
+    """Whatever samples points (px, py, pz and a key): renders and sessions take any class with these two methods."""
+
+    def nearest(self, points: DataFrame, key: str) -> DataFrame:
+        """`points` with v of the voxel that holds each."""
+
+    def trilinear(self, points: DataFrame, key: str) -> DataFrame:
+        """`points` with v interpolated between eight voxels."""
 
 
 def as_volume(volume: Volume | DataFrame) -> Volume:

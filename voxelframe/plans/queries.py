@@ -270,14 +270,14 @@ def uv_bin_join(s: SparkSession, d: str) -> DataFrame:
     tri = triangles(s)
     p = fixtures.points(s, d).select("event_id", (F.col("px") / 40.0).alias("low_tu"), (F.col("py") / 40.0).alias("low_tv"))
     w = p.withColumns({"high_tu": F.col("low_tu") + 0.03, "high_tv": F.col("low_tv") + 0.02})
-    return mesh.grid_range_join(tri, w, uv_grid(tri), UV, "event_id").select("event_id", "f")
+    return mesh.grid_range_join(tri, w, mesh.Grid.fitted(tri, UV, (0.03, 0.02)), UV, "event_id").select("event_id", "f")
 
 
 @query
 def xyz_bin_join(s: SparkSession, d: str) -> DataFrame:
     tri = triangles(s)
     w = fixtures.points(s, d).select("event_id", *[F.col(f"p{c}").alias(f"low_{c}") for c in "xyz"], *[(F.col(f"p{c}") + 1.5).alias(f"high_{c}") for c in "xyz"])
-    return mesh.grid_range_join(tri, w, mesh.Grid.over(tri, XYZ), XYZ, "event_id").select("event_id", "f")
+    return mesh.grid_range_join(tri, w, mesh.Grid.fitted(tri, XYZ, (1.5,) * 3), XYZ, "event_id").select("event_id", "f")
 
 
 @query

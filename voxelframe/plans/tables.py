@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (as in tests), the context's, or a new temporary one."""
+    """The session's spark.checkpoint.dir; where that is unset, the context's, or in local mode a new temporary one.
+
+    On a cluster executors share no local folder, so there a missing setting is an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
