@@ -7,6 +7,7 @@ import pytest
 import zstandard
 from conftest import SF
 from pyspark.sql import functions as F
+from test_sources import volume as noise
 from test_sources import zarr
 
 from voxelframe.operators import catalog, mesh, sample, slices
@@ -14,6 +15,7 @@ from voxelframe.operators.composite import Composite
 from voxelframe.plans import fixtures
 from voxelframe.plans import queries as q
 from voxelframe.session import Session
+from voxelframe.sources import codecs
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +68,58 @@ def test_pyramid_from_files(spark, files):
     volume = Session(spark).open_volume(f"{files}/ome")
     p = fixtures.points(spark, SF)
     want = sample.nearest(p, fixtures.voxels(spark, SF)).select("event_id", "v")
-    assert isinstance(volume, sample.Pyramid) and same(volume.nearest(p, "event_id").select("event_id", "v"), want)
+    assert isinstance(volume, sample.ChunkPyramid) and "data" in volume.rows.columns and same(volume.nearest(p, "event_id").select("event_id", "v"), want)
+
+
+def test_unequal_chunks_levels_and_fill_value(spark, tmp_path):
+    """Chunks of 6 x 4 x 8 voxels, a fill value and another order in the metadata, and a second level where the first has holes."""
+    v = noise((8, 12, 18))
+    zarr(tmp_path / "o/0", v, (8, 4, 6), "/", True, fill_value=7, order="F")
+    zarr(tmp_path / "o/1", np.ascontiguousarray(v[::2, ::2, ::2]), (4, 6, 3), ".", False)
+    (tmp_path / "o/.zattrs").write_text(json.dumps({"multiscales": [{"datasets": [{"path": "0"}, {"path": "1"}]}]}))
+    rng = np.random.default_rng(1)
+    at = [tuple(float(x) for x in rng.uniform(0, (17, 11, 7))) for _ in range(60)]
+    p = spark.createDataFrame([(k, *a) for k, a in enumerate(at)], "k int, px double, py double, pz double")
+    plain = Session(spark).open_volume(f"{tmp_path}/o/0")
+    assert plain.edge == (6, 4, 8)
+    got = {r.k: r.v for r in plain.nearest(p, "k").collect()}
+    assert got == {k: v[int(z), int(y), int(x)] for k, (x, y, z) in enumerate(at)}
+    rows = [(x, y, z, int(v[z, y, x])) for z in range(8) for y in range(12) for x in range(18)]
+    voxels = spark.createDataFrame(rows, "x int, y int, z int, v int")
+    assert same(plain.trilinear(p, "k").select("k", "v"), sample.trilinear_sample(p, voxels, "k").select("k", "v"))
+    (tmp_path / "o/0/0/1/2").unlink()  # z, y, x
+    levels = Session(spark).open_volume(f"{tmp_path}/o")
+    hole = lambda x, y, z: x >= 12 and 4 <= y < 8
+    want = {k: v[int(z) // 2 * 2, int(y) // 2 * 2, int(x) // 2 * 2] if hole(x, y, z) else v[int(z), int(y), int(x)] for k, (x, y, z) in enumerate(at)}
+    assert {r.k: r.v for r in levels.nearest(p, "k").collect()} == want and any(hole(*a) for a in at)
+
+
+def test_layer_stack(spark, tmp_path):
+    v = (noise((3, 300, 500)).astype(np.uint16) << 8) | 3
+    for z in range(3):
+        (tmp_path / f"{z:05}.tif").write_bytes(codecs.tiff_encode(v[z]))
+    volume = Session(spark).open_volume(str(tmp_path))
+    at = [(0, 0, 0), (499, 299, 2), (256, 255, 1), (255.5, 256.5, 0), (500, 0, 0), (0, 0, 3)]
+    p = spark.createDataFrame([(k, *map(float, a)) for k, a in enumerate(at)], "k int, px double, py double, pz double")
+    want = {k: v[int(z), int(y), int(x)] >> 8 if x < 500 and z < 3 else 0 for k, (x, y, z) in enumerate(at)}
+    assert volume.edge == (256, 256, 1) and {r.k: r.v for r in volume.nearest(p, "k").collect()} == want
+
+
+def test_own_volume(spark, files):
+    """A volume of the user's own needs two methods."""
+
+    class Ramp:
+        def nearest(self, points, key):
+            return points.withColumn("v", F.floor("px").cast("int"))
+
+        trilinear = nearest
+
+    s = Session(spark)
+    opened = s.open_surface(f"{files}/mesh.obj", 120, 120)
+    got = s.render_surface(Ramp(), opened, range(32, 33))
+    tri = q.triangles(spark)
+    want = mesh.top_pixels(mesh.raster(tri, q.SURFACE, q.WINDOW, q.uv_grid(tri))).select("px", "py", F.floor("x").cast("int").alias("v"))
+    assert same(got.select("px", "py", "v"), want)
 
 
 def test_transform_and_projection(spark, files):

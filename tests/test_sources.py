@@ -53,15 +53,17 @@ def test_tiles(spark, tmp_path):
     assert volumes.read_tiles(spark, str(tmp_path), {"x": range(0, 2), "y": range(2, 3)}, 0).count() == 1
 
 
-def zarr(path, v, edge, sep, compress):
+def zarr(path, v, edge, sep, compress, fill_value=0, order="C"):
+    """`edge` of all axes, or of z, y and x."""
     path.mkdir(parents=True, exist_ok=True)
-    (path / ".zarray").write_text(json.dumps({"chunks": [edge] * 3, "compressor": {"id": "blosc", "cname": "lz4"} if compress else None, "dtype": "|u1", "fill_value": 0, "filters": None, "order": "C", "shape": list(v.shape), "zarr_format": 2, "dimension_separator": sep}))
-    for z in range(0, v.shape[0], edge):
-        for y in range(0, v.shape[1], edge):
-            for x in range(0, v.shape[2], edge):
-                f = path / sep.join(str(k // edge) for k in (z, y, x))
+    e = (edge,) * 3 if isinstance(edge, int) else edge
+    (path / ".zarray").write_text(json.dumps({"chunks": list(e), "compressor": {"id": "blosc", "cname": "lz4"} if compress else None, "dtype": "|u1", "fill_value": fill_value, "filters": None, "order": order, "shape": list(v.shape), "zarr_format": 2, "dimension_separator": sep}))
+    for z in range(0, v.shape[0], e[0]):
+        for y in range(0, v.shape[1], e[1]):
+            for x in range(0, v.shape[2], e[2]):
+                f = path / sep.join(str(k // n) for k, n in zip((z, y, x), e, strict=True))
                 f.parent.mkdir(parents=True, exist_ok=True)
-                raw = v[z : z + edge, y : y + edge, x : x + edge].tobytes()
+                raw = v[z : z + e[0], y : y + e[1], x : x + e[2]].tobytes()
                 f.write_bytes(codecs.blosc_encode(raw, 512) if compress else raw)
 
 
@@ -149,6 +151,26 @@ def test_layer_images(spark, tmp_path):
         sinks.layer_images(pixels, 3, 4, "jpeg")
 
 
+@pytest.mark.parametrize("kind, most", [("png", 0), ("tif", 0), ("jpg", 12)])
+def test_written_layers(spark, tmp_path, kind, most):
+    """Strips of 16 lines, some of them absent, read back by another library; JPEG within a few grey levels."""
+    y, x = np.mgrid[:70, :37]
+    image = (128 + 60 * np.sin(x / 5) + 50 * np.cos(y / 7)).astype(np.uint8)
+    image[32:48] = 0  # a strip without pixels
+    rows = [(32, i, j, int(image[j, i])) for j in range(70) for i in range(37) if image[j, i]] + [(32, 37, 0, 1), (5, 3, 3, 200)]
+    pixels = spark.createDataFrame(rows, "w int, px int, py int, v int").repartition(5)
+    sinks.write_layers(pixels, 37, 70, str(tmp_path / "out"), kind, rows=16)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"05.{kind}", f"32.{kind}"]
+    jvm = spark.sparkContext._jvm
+    read = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / f"out/32.{kind}")))
+    raster = read.getRaster()
+    got = np.array([[raster.getSample(i, j, 0) for i in range(37)] for j in range(70)])
+    assert (read.getWidth(), read.getHeight()) == (37, 70) and np.abs(got.astype(int) - image).max() <= (most if kind != "jpg" else 40)
+    assert kind != "jpg" or np.abs(got[:30].astype(int) - image[:30]).mean() < 2
+    with pytest.raises(ValueError):
+        sinks.write_layers(pixels, 37, 70, str(tmp_path), "gif")
+
+
 def test_fetch(spark, tmp_path):
     asked = []
 

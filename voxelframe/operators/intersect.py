@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.num import side, to_i32
+from ..functions.num import idiv, side, to_i32
 from .mesh import Grid, bounds, grid_range_join
 from .slices import AXES, PANES, View
 
@@ -57,33 +57,25 @@ def to_canvas(segments: DataFrame, view: View) -> DataFrame:
     return segments.withColumns({"x0": at("u0", u), "y0": at("v0", v), "x1": at("u1", u), "y1": at("v1", v)})
 
 
-def _line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The pixels of a line but for its end, by Bresenham's algorithm, as an array of structs.
+def line_pixels(segments: DataFrame, width: int, height: int) -> DataFrame:
+    """`segments` (x0, y0, x1, y1) with a row for each pixel (px, py) of their lines, but for the end, inside the canvas.
 
-    Step k of the fold holds the place and the error after k moves; the number of moves is the longer side.
+    Bresenham's line in closed form: step k is k pixels along the longer side and (2k * shorter + longer) div (2 * longer)
+    along the other.  Only steps whose place on the longer side is inside the canvas become rows.
     """
-    dx, dy = F.abs(x1 - x0), -F.abs(y1 - y0)
-    sx, sy = F.when(x0 < x1, 1).otherwise(-1), F.when(y0 < y1, 1).otherwise(-1)
     big = lambda c: c.cast("bigint")
-    place = lambda x, y: F.struct(big(x).alias("x"), big(y).alias("y"))
-    zero = F.struct(big(x0).alias("x"), big(y0).alias("y"), big(dx + dy).alias("e"), F.array(place(x0, y0)).alias("path"))
-
-    def step(s: Column, _: Column) -> Column:
-        e2 = 2 * s.e
-        right, down = e2 >= dy, e2 <= dx
-        x, y = s.x + F.when(right, sx).otherwise(0), s.y + F.when(down, sy).otherwise(0)
-        e = s.e + F.when(right, dy).otherwise(0) + F.when(down, dx).otherwise(0)
-        return F.struct(big(x).alias("x"), big(y).alias("y"), big(e).alias("e"), F.concat(s.path, F.array(place(x, y))).alias("path"))
-
-    n = F.greatest(dx, -dy)
-    path = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(n - 1, F.lit(1))), zero, step, lambda s: s.path)
-    return F.when(n == 0, F.array().cast("array<struct<x:bigint,y:bigint>>")).when(n == 1, F.array(place(x0, y0))).otherwise(path)
-
-
-def line_pixels(segments: DataFrame, width: int, height: int) -> DataFrame:
-    """`segments` (x0, y0, x1, y1) with a row for each pixel (px, py) of their lines inside the canvas."""
-    path = _line(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    out = segments.withColumn("_at", F.explode(path)).withColumns({"px": F.col("_at.x"), "py": F.col("_at.y")}).drop("_at")
+    x0, y0, x1, y1 = (big(F.col(c)) for c in ("x0", "y0", "x1", "y1"))
+    dx, dy = F.abs(x1 - x0), F.abs(y1 - y0)
+    sx, sy = F.when(x0 < x1, 1).otherwise(-1), F.when(y0 < y1, 1).otherwise(-1)
+    along_x = dx >= dy
+    longer, shorter = F.greatest(dx, dy), F.least(dx, dy)
+    start, way, size = F.when(along_x, x0).otherwise(y0), F.when(along_x, sx).otherwise(sy), F.when(along_x, F.lit(width)).otherwise(F.lit(height))
+    first = F.greatest(F.lit(0), F.when(way > 0, -start).otherwise(start - size + 1))
+    last = F.least(longer - 1, F.when(way > 0, size - 1 - start).otherwise(start))
+    out = segments.withColumn("_k", F.explode(F.when(first <= last, F.sequence(big(first), big(last)))))
+    k = F.col("_k")
+    side_step = idiv(2 * k * shorter + longer, 2 * longer)
+    out = out.withColumns({"px": x0 + sx * F.when(along_x, k).otherwise(side_step), "py": y0 + sy * F.when(along_x, side_step).otherwise(k)}).drop("_k")
     return out.where(f"px >= 0 and px < {width} and py >= 0 and py < {height}")
 
 

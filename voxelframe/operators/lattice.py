@@ -38,6 +38,11 @@ def numbered(components: DataFrame, small: int) -> DataFrame:
     return components.join(large.select("component", "id"), "component", "left").withColumn("id", F.coalesce("id", F.lit(1)))
 
 
+def totals(voxels: DataFrame) -> DataFrame:
+    """(total, n_lit): the sum of the values and the number of voxels other than 0."""
+    return voxels.agg(F.sum("v").alias("total"), F.sum((F.col("v") != 0).cast("long")).alias("n_lit"))
+
+
 def point_cloud(voxels: DataFrame, threshold: int) -> DataFrame:
     """(part, x, y, z): voxels at or above the threshold go to part 1, others to part 2."""
     return voxels.select(F.when(F.col("v") >= threshold, 1).otherwise(2).alias("part"), "x", "y", "z")

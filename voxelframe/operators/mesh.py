@@ -306,6 +306,11 @@ def last_request(rows: DataFrame, by: str, order: str, cols: list[str]) -> DataF
     return rows.withColumn("_same", same & (F.row_number().over(w) > 1)).where("not _same").drop("_same")
 
 
+def writers(requests: DataFrame, pixel: list[str], order: str) -> DataFrame:
+    """(pixel, last, first): which request wrote each pixel last, and which first."""
+    return requests.groupBy(*pixel).agg(F.max(order).alias("last"), F.min(order).alias("first"))
+
+
 def render_layers(triangles: DataFrame, volume: Volume | DataFrame, surface: Surface, window: Window2D, grid: Grid, layers: list[int], trilinear: bool = False) -> DataFrame:
     """(w, px, py, v): one painted image for each layer; the mesh is rasterised once for all of them."""
     top = top_pixels(raster(triangles, surface, window, grid)).withColumnsRenamed({"px": "at_x", "py": "at_y"})

@@ -7,6 +7,7 @@ Spark finds it small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -28,11 +29,19 @@ def nearest(points: DataFrame, voxels: DataFrame, default: int | None = 0) -> Da
     return out if default is None else out.withColumn("v", F.coalesce("v", F.lit(default)))
 
 
+def inside(points: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """`points` with whether each lies inside a volume of `shape` voxels."""
+    within = F.lit(True)
+    for c, n in zip("xyz", shape, strict=True):
+        within = within & (F.col(f"p{c}") >= 0) & (F.col(f"p{c}") < n)
+    return points.withColumn("inside", within)
+
+
 def _corners(points: DataFrame, key: str) -> DataFrame:
-    """A row for each distinct corner of a point's cell: key, k, _x, _y, _z."""
+    """A row for each distinct corner of a point's cell: key, _k, _x, _y, _z."""
     base = [to_index(F.col(f"p{c}")) for c in "xyz"]
-    corner = F.array(*[F.struct(F.lit(k).alias("k"), *[(b + d).alias(f"_{c}") for b, d, c in zip(base, off, "xyz", strict=True)]) for k, off in enumerate(CORNERS)])
-    return points.select(key, F.explode(corner).alias("c")).select(key, "c.*")
+    corner = F.array(*[F.struct(F.lit(k).alias("_k"), *[(b + d).alias(f"_{c}") for b, d, c in zip(base, off, "xyz", strict=True)]) for k, off in enumerate(CORNERS)])
+    return points.select(key, F.explode(corner).alias("_c")).select(key, "_c.*")
 
 
 def _blend(points: DataFrame, values: DataFrame, key: str, strict: bool) -> DataFrame:
@@ -53,7 +62,7 @@ def trilinear_sample(points: DataFrame, voxels: DataFrame, key: str, strict: boo
     """`points` with the interpolated v; `key` is unique.  Missing corners count as 0, or with `strict` make v null."""
     vox = voxels.select(*[F.col(c).cast("bigint").alias(f"_{c}") for c in "xyz"], "v")
     found = _corners(points, key).join(vox, ["_x", "_y", "_z"])
-    pivot = found.groupBy(key).agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"c{k}") for k in range(8)])
+    pivot = found.groupBy(key).agg(*[F.max(F.when(F.col("_k") == k, F.col("v"))).alias(f"c{k}") for k in range(8)])
     return _blend(points, pivot, key, strict)
 
 
@@ -77,7 +86,7 @@ def _in_chunk(edge: tuple[int, int, int], off: tuple[int, int, int] = (0, 0, 0))
 def _asked(at: DataFrame, edge: tuple[int, int, int], keep: list[str]) -> DataFrame:
     """`at` (keep, _x, _y, _z) with a row for each distinct chunk that the corners of a point's cell lie in, mostly one."""
     keys = F.array_distinct(F.array(*[F.struct(*[idiv(F.col(f"_{c}") + d, e).alias(f"c{c}") for c, d, e in zip("xyz", off, edge, strict=True)]) for off in CORNERS]))
-    return at.withColumn("k", F.explode(keys)).select(*keep, "_x", "_y", "_z", "k.*")
+    return at.withColumn("_k", F.explode(keys)).select(*keep, "_x", "_y", "_z", "_k.*")
 
 
 def trilinear_in_chunks(points: DataFrame, chunks: DataFrame, key: str, edge: Edges, strict: bool = False) -> DataFrame:
@@ -195,29 +204,43 @@ class ChunkPyramid:
     """A volume as chunks of several levels (level, cx, cy, cz, data); `edges` has the levels' chunk edges, finest first.
 
     A voxel of level s is 2**s voxels wide.  The finest level that has a point's chunk answers; only points that it
-    does not know ask the next, and only chunks that are asked for are decoded.  No chunk becomes voxel rows.
+    does not know ask the next, and only chunks that are asked for are read.  No chunk becomes voxel rows.  `source`,
+    if given, finds the chunks of a table of keys (level, cx, cy, cz) instead of `rows`.
     """
 
-    rows: DataFrame
+    rows: DataFrame | None
     edges: tuple[Edges, ...]
     finest: int = 0
+    source: Callable[[DataFrame], DataFrame] | None = None
+
+    def chunks(self, level: int, keys: DataFrame) -> DataFrame:
+        """(cx, cy, cz, data) of the wanted keys (cx, cy, cz) of a level."""
+        if self.source is not None:
+            found = self.source(keys.select(F.lit(level).alias("level"), "cx", "cy", "cz"))
+        else:
+            found = self.rows.where(F.col("level") == level).join(keys, ["cx", "cy", "cz"], "left_semi")
+        return found.select("cx", "cy", "cz", "data")
 
     def _levels(self) -> list[int]:
         return list(range(self.finest, len(self.edges)))
 
     def nearest(self, points: DataFrame, key: str) -> DataFrame:
         def one(left: DataFrame, level: int) -> DataFrame:
-            chunks, e = self.rows.where(F.col("level") == level).drop("level"), edges_of(self.edges[level])
+            e = edges_of(self.edges[level])
             at = left.withColumns({f"_{c}": F.call_function("shiftright", to_index(F.col(f"p{c}")), F.lit(level)) for c in "xyz"})
             at = at.withColumns({f"c{c}": idiv(F.col(f"_{c}"), n) for c, n in zip("xyz", e, strict=True)})
-            wanted = chunks.join(at.select("cx", "cy", "cz").distinct(), ["cx", "cy", "cz"], "left_semi").select("cx", "cy", "cz", "data")
+            wanted = self.chunks(level, at.select("cx", "cy", "cz").distinct())
             return at.join(wanted, ["cx", "cy", "cz"], "left").withColumn("v", _in_chunk(e))
 
         return _level_by_level(points, key, self._levels(), one)
 
     def trilinear(self, points: DataFrame, key: str) -> DataFrame:
-        of = lambda left, level: _unscaled(trilinear_in_chunks(_scaled(left, level), self.rows.where(F.col("level") == level).drop("level"), key, self.edges[level], strict=True))
-        return _level_by_level(points, key, self._levels(), of)
+        def one(left: DataFrame, level: int) -> DataFrame:
+            scaled = _scaled(left, level)
+            keys = _asked(scaled.select(*[to_index(F.col(f"p{c}")).alias(f"_{c}") for c in "xyz"]), edges_of(self.edges[level]), [])
+            return _unscaled(trilinear_in_chunks(scaled, self.chunks(level, keys.select("cx", "cy", "cz").distinct()), key, self.edges[level], strict=True))
+
+        return _level_by_level(points, key, self._levels(), one)
 
 
 class Volume(Protocol):

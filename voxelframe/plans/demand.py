@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.num import idiv, to_index
 from ..operators.mesh import Surface, _interpolated, _weights, offset
+from ..operators.sample import Edges, edges_of
 
 
 @dataclass(frozen=True)
@@ -23,7 +24,7 @@ class Render:
     tile: int = 1024
     left: int = 0
     top: int = 0
-    chunk: int = 64
+    chunk: Edges = 64
 
 
 def uv_tiles(spark: SparkSession, r: Render) -> DataFrame:
@@ -54,7 +55,8 @@ def chunk_demand(triangles: DataFrame, surface: Surface, r: Render) -> DataFrame
     """
     layers = F.explode(F.sequence(F.lit(r.first_layer), F.lit(r.last_layer)))
     at = offset(fragments(triangles, surface, r).withColumn("w", layers), (F.col("w") - r.middle).cast("double"))
-    both = lambda c: F.explode(F.array_distinct(F.array(idiv(to_index(F.col(f"p{c}")), r.chunk), idiv(to_index(F.col(f"p{c}")) + 1, r.chunk))))
+    edge = dict(zip("xyz", edges_of(r.chunk), strict=True))
+    both = lambda c: F.explode(F.array_distinct(F.array(idiv(to_index(F.col(f"p{c}")), edge[c]), idiv(to_index(F.col(f"p{c}")) + 1, edge[c]))))
     keys = at.select("u", "v", "w", "px", "py", "pz")
     for c in "xyz":
         keys = keys.withColumn(f"c{c}", both(c)).drop(f"p{c}")

@@ -35,13 +35,26 @@ def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(whole & ~hole).select("level", at("x"), at("y"), at("z"), "v")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(level, cx, cy, cz, data): the volume as 4-cubes with a byte for each voxel, x fastest."""
-    vox = voxels(spark, sf_dir)
+def _cubes(voxels: DataFrame, level: int, edge: int) -> DataFrame:
+    """(level, cx, cy, cz, data): voxels as cubes of `edge` with a byte for each voxel, x fastest."""
     byte = F.lpad(F.hex(F.col("v")), 2, "0")
-    cell = F.struct((F.col("z") % 4 * 16 + F.col("y") % 4 * 4 + F.col("x") % 4).alias("i"), byte.alias("b"))
+    cell = F.struct(((F.col("z") % edge * edge + F.col("y") % edge) * edge + F.col("x") % edge).alias("i"), byte.alias("b"))
     data = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c.b), ""))
-    return vox.groupBy(*[idiv(F.col(c), 4).alias(f"c{c}") for c in "xyz"]).agg(data.alias("data")).select(F.lit(0).alias("level"), "cx", "cy", "cz", "data")
+    return voxels.groupBy(*[idiv(F.col(c), edge).alias(f"c{c}") for c in "xyz"]).agg(data.alias("data")).select(F.lit(level).alias("level"), "cx", "cy", "cz", "data")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volume as 4-cubes."""
+    return _cubes(voxels(spark, sf_dir), 0, 4)
+
+
+def chunk_levels(spark: SparkSession, sf_dir: str, edges: tuple[int, ...] = (4, 2, 1, 1)) -> DataFrame:
+    """The pyramid as chunks: one embedding's voxels are one chunk of the first three levels."""
+    rows, out = pyramid(spark, sf_dir), None
+    for level, edge in enumerate(edges):
+        part = _cubes(rows.where(F.col("level") == level), level, edge)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

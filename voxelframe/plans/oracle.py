@@ -72,6 +72,8 @@ add(
     f"SELECT event_id, coalesce(min_by(w, level) FILTER (w IS NOT NULL), 0) AS v FROM (SELECT event_id, level, {blended(True)} AS w FROM sp JOIN piv USING (event_id, level)) GROUP BY event_id",
     LVL, PTS, "sp AS (SELECT event_id, l AS level, px/(1<<l)::double AS px, py/(1<<l)::double AS py, pz/(1<<l)::double AS pz FROM pts, range(0,4) t(l))", corners("sp", "lvl", "event_id", ", level"),
 )
+SQL["sample_chunk_pyramid"] = SQL["sample_pyramid"]
+SQL["sample_chunk_pyramid_trilinear"] = SQL["sample_pyramid_trilinear"]
 add("volume_bounds", "SELECT event_id, px>=0 AND px<30 AND py>=0 AND py<30 AND pz>=0 AND pz<15 AS inside FROM pts", PTS)
 add("tile_lookup", "SELECT event_id, CASE WHEN n IS NULL THEN 'Missing' ELSE 'Loaded' END AS state, coalesce(n,0) AS n FROM pts LEFT JOIN (SELECT x//4 AS cx, y//4 AS cy, z//4 AS cz, count(*) AS n FROM vox WHERE label<5 GROUP BY ALL) ON cx=floor(px)::bigint//4 AND cy=floor(py)::bigint//4 AND cz=floor(pz)::bigint//4", VOX, PTS)
 
@@ -250,6 +252,8 @@ add("chunk_missing", "SELECT DISTINCT cx, cy, cz FROM need EXCEPT SELECT * FROM
 add("chunk_union", "SELECT cx, cy, cz FROM need UNION SELECT * FROM have", VOX, TRI, raster(), DEMAND, HAVE)
 add("layer_blit", f"SELECT w, px, py, coalesce(v,0) AS v FROM (SELECT w::int AS w, px, py, {_ray('w::double')} FROM top, (SELECT unnest([-1,0,1]) AS w)) p {_near}", VOX, TRI, raster(), TOP)
 
+SQL["layer_blit_chunks"] = SQL["layer_blit"]
+
 SEGS = "segs AS (SELECT doc_id AS segment_id, lang AS scroll_id, source AS num, doc_id%7=0 AS is_fragment, n_chars AS width FROM documents)"
 add("catalog_group", "SELECT scroll_id, is_fragment, num, count(*) AS n, string_agg(segment_id::varchar, ',' ORDER BY segment_id) AS segments FROM segs GROUP BY ALL", SEGS)
 add("catalog_sort", "SELECT scroll_id, is_fragment, num, (row_number() OVER (ORDER BY is_fragment, num, scroll_id))::int AS rank FROM (SELECT DISTINCT scroll_id, is_fragment, num FROM segs)", SEGS)
@@ -265,12 +269,13 @@ add("cell_name_parse", "SELECT max(y)::int AS max_y, max(x)::int AS max_x, max(z
 add("format_sniff", """SELECT v AS volume, CASE WHEN bool_or(k=0 AND v%4<>0) THEN 'ome' WHEN bool_or(k=1 AND v%3<>0) THEN 'zarr' WHEN bool_or(k=2) THEN 'cells' WHEN bool_or(k=3) THEN 'layers' END AS format
  FROM (SELECT doc_id%60 AS v, doc_id%6 AS k FROM documents) GROUP BY v""")
 add("json_meta", "SELECT event_id, json_extract_string(props,'$.k')::bigint AS k, pos::int AS pos, pos::varchar AS path, 'lz4' AS codec, 32::bigint AS chunk, 25::bigint AS n_chunks FROM events, range(0,4) t(pos)")
-SLAB = "slab AS (SELECT x, y, z, CASE WHEN v>=127 THEN 1 ELSE 0 END AS v, (z*40+y)*40+x AS i FROM vox WHERE z=10)"
-REACH = """edges AS (SELECT a.i AS a, b.i AS b FROM slab a JOIN slab b ON a.v=b.v AND abs(a.x-b.x)+abs(a.y-b.y)=1),
-walk AS (SELECT i AS root, i AS node FROM slab UNION SELECT root, b FROM walk JOIN edges ON a=node WHERE b>root),
+CLASSED = "cls AS (SELECT x, y, z, v%7 AS v, (z*40+y)*40+x AS i FROM vox)"
+_steps = " UNION ALL ".join(f"SELECT a.i AS a, b.i AS b FROM cls a JOIN cls b ON a.v=b.v AND b.x=a.x+{dx} AND b.y=a.y+{dy} AND b.z=a.z+{dz}" for dx, dy, dz in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)))
+REACH = f"""edges AS ({_steps}),
+walk AS (SELECT i AS root, i AS node FROM cls UNION SELECT root, b FROM walk JOIN edges ON a=node WHERE b>root),
 comp AS (SELECT node, min(root) AS component FROM walk GROUP BY node)"""
-add("components_slab", "SELECT x, y, z, component FROM slab JOIN comp ON node=i", VOX, SLAB, REACH)
-add("component_sizes", "SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*)>5", VOX, SLAB, REACH)
+add("components_volume", "SELECT x, y, z, component FROM cls JOIN comp ON node=i", VOX, CLASSED, REACH)
+add("component_sizes", "SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*)>5", VOX, CLASSED, REACH)
 add("point_cloud", "SELECT CASE WHEN v>=127 THEN 1 ELSE 2 END AS part, x, y, z FROM vox", VOX)
 add("morton_index", """SELECT x, y, z, v, ((((z&7936)<<2)|((y&7936)>>3)|((x&7936)>>8))<<24) | ((((z&240)<<4)|(y&240)|((x&240)>>4))<<12) | (((z&15)<<8)|((y&15)<<4)|(x&15)) AS address
  FROM (SELECT x*203 AS x, y*203 AS y, z*97 AS z, v FROM vox)""", VOX)

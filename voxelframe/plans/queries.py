@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.num import idiv
 from ..operators import catalog, composite, intersect, lattice, mesh, sample, slices, surface_map
+from ..sources import volumes
 from ..streaming import arrivals
 from . import demand, fixtures
 from .tables import Tables
@@ -35,8 +36,6 @@ UV, XYZ = ("tu", "tv"), ("x", "y", "z")
 VOLUMES = [(f"src{k}", f"Volume {k}", ("tiles", "ome", "zarr", "cells", "layers")[k % 5], ("local", "remote")[k % 2], f"https://data.example.org/volume-{k}/") for k in range(0, 20, 2)]
 ZARRAY = '{"chunks":[64,64,32],"compressor":{"blocksize":0,"clevel":5,"cname":"lz4","id":"blosc","shuffle":1},"dtype":"|u1","fill_value":0,"filters":null,"order":"C","shape":[1000,900,800],"zarr_format":2,"dimension_separator":"/"}'
 ZATTRS = '{"multiscales":[{"axes":[{"name":"z","type":"space"}],"datasets":[{"path":"0","coordinateTransformations":[{"type":"scale","scale":[1.0,1.0,1.0]}]},{"path":"1"},{"path":"2"},{"path":"3"},{"path":"4"}],"name":"scan","version":"0.4"}]}'
-ZARRAY_DDL = "chunks ARRAY<BIGINT>, compressor STRUCT<blocksize:BIGINT,clevel:INT,cname:STRING,id:STRING,shuffle:INT>, dtype STRING, fill_value INT, filters STRING, `order` STRING, shape ARRAY<BIGINT>, zarr_format INT, dimension_separator STRING"
-ZATTRS_DDL = "multiscales ARRAY<STRUCT<datasets:ARRAY<STRUCT<path:STRING>>,name:STRING,version:STRING>>"
 
 
 def triangles(spark: SparkSession) -> DataFrame:
@@ -47,6 +46,10 @@ def uv_grid(tri: DataFrame) -> mesh.Grid:
     return mesh.Grid.over(tri, UV)
 
 
+def chunk_pyramid(s: SparkSession, d: str) -> sample.ChunkPyramid:
+    return sample.ChunkPyramid(fixtures.chunk_levels(s, d), (4, 2, 1, 1))
+
+
 def r6(c: str) -> Column:
     return (F.round(c, 6) + 0.0).alias(c)  # no negative zero
 
@@ -101,12 +104,19 @@ def sample_pyramid_trilinear(s: SparkSession, d: str) -> DataFrame:
     return sample.trilinear_pyramid(fixtures.points(s, d), fixtures.pyramid(s, d), "event_id").select("event_id", "v")
 
 
+@query
+def sample_chunk_pyramid(s: SparkSession, d: str) -> DataFrame:
+    return chunk_pyramid(s, d).nearest(fixtures.points(s, d), "event_id").select("event_id", "v")
+
+
+@query
+def sample_chunk_pyramid_trilinear(s: SparkSession, d: str) -> DataFrame:
+    return chunk_pyramid(s, d).trilinear(fixtures.points(s, d), "event_id").select("event_id", "v")
+
+
 @query
 def volume_bounds(s: SparkSession, d: str) -> DataFrame:
-    inside = F.lit(True)
-    for c, n in zip("xyz", (30, 30, 15), strict=True):
-        inside = inside & (F.col(f"p{c}") >= 0) & (F.col(f"p{c}") < n)
-    return fixtures.points(s, d).select("event_id", inside.alias("inside"))
+    return sample.inside(fixtures.points(s, d), (30, 30, 15)).select("event_id", "inside")
 
 
 @query
@@ -425,6 +435,12 @@ def layer_blit(s: SparkSession, d: str) -> DataFrame:
     return mesh.render_layers(tri, fixtures.voxels(s, d), SURFACE, WINDOW, uv_grid(tri), [-1, 0, 1])
 
 
+@query
+def layer_blit_chunks(s: SparkSession, d: str) -> DataFrame:
+    tri, whole = triangles(s), sample.ChunkPyramid(fixtures.chunks(s, d), (4,))
+    return mesh.render_layers(tri, whole, SURFACE, WINDOW, uv_grid(tri), [-1, 0, 1])
+
+
 @query
 def catalog_group(s: SparkSession, d: str) -> DataFrame:
     g = catalog.by_scroll(fixtures.segments(s, d))
@@ -481,9 +497,7 @@ def crop_parse(s: SparkSession, d: str) -> DataFrame:
 @query
 def cell_name_parse(s: SparkSession, d: str) -> DataFrame:
     name = F.format_string("cell_yxz_%03d_%03d_%03d.tif", F.col("l_linenumber"), F.col("l_suppkey") % 30 + 1, F.col("l_partkey") % 20 + 1)
-    n = fixtures.table(s, d, "lineitem").select(name.alias("name"))
-    part = lambda k: F.regexp_extract("name", r"^cell_yxz_(\d+)_(\d+)_(\d+)\.tif$", k).cast("int")
-    return n.agg(F.max(part(1)).alias("max_y"), F.max(part(2)).alias("max_x"), F.max(part(3)).alias("max_z"), F.countDistinct("name").alias("n_cells"))
+    return volumes.cell_grid(fixtures.table(s, d, "lineitem").select(name.alias("name")))
 
 
 def listing(s: SparkSession, d: str) -> DataFrame:
@@ -502,25 +516,25 @@ def format_sniff(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def json_meta(s: SparkSession, d: str) -> DataFrame:
-    e = fixtures.table(s, d, "events").select("event_id", F.from_json("props", "k BIGINT").alias("p"), F.lit(ZARRAY).alias("zarray"), F.lit(ZATTRS).alias("zattrs"))
-    e = e.select("event_id", F.col("p.k").alias("k"), F.from_json("zarray", ZARRAY_DDL).alias("a"), F.from_json("zattrs", ZATTRS_DDL).alias("m"))
-    levels = e.select("event_id", "k", "a", F.posexplode(F.get(F.col("m.multiscales"), F.lit(0)).datasets).alias("pos", "ds")).where("pos < 4")
+    e = fixtures.table(s, d, "events").select("event_id", F.from_json("props", "k BIGINT").k.alias("k"), volumes.parsed_array(F.lit(ZARRAY)).alias("a"), volumes.level_paths(F.lit(ZATTRS)).alias("m"))
+    levels = e.select("event_id", "k", "a", F.posexplode("m").alias("pos", "path"))
     chunk = F.get(F.col("a.chunks"), F.lit(2))
-    return levels.select("event_id", "k", "pos", F.col("ds.path").alias("path"), F.col("a.compressor.cname").alias("codec"), chunk.alias("chunk"), X.n_blocks(F.get(F.col("a.shape"), F.lit(2)), chunk).alias("n_chunks"))
+    return levels.select("event_id", "k", "pos", "path", F.col("a.compressor.cname").alias("codec"), chunk.alias("chunk"), X.n_blocks(F.get(F.col("a.shape"), F.lit(2)), chunk).alias("n_chunks"))
 
 
-def slab(s: SparkSession, d: str) -> DataFrame:
-    return fixtures.voxels(s, d).where("z = 10").select("x", "y", "z", F.when(F.col("v") >= 127, 1).otherwise(0).alias("v"))
+def classed(s: SparkSession, d: str) -> DataFrame:
+    """The whole volume in seven classes of voxels."""
+    return fixtures.voxels(s, d).select("x", "y", "z", (F.col("v") % 7).alias("v"))
 
 
 @query
-def components_slab(s: SparkSession, d: str) -> DataFrame:
-    return lattice.voxel_components(slab(s, d), (40, 40, 1000)).select("x", "y", "z", "component")
+def components_volume(s: SparkSession, d: str) -> DataFrame:
+    return lattice.voxel_components(classed(s, d), (40, 40, 1000)).select("x", "y", "z", "component")
 
 
 @query
 def component_sizes(s: SparkSession, d: str) -> DataFrame:
-    return lattice.component_sizes(lattice.voxel_components(slab(s, d), (40, 40, 1000)), 5)
+    return lattice.component_sizes(lattice.voxel_components(classed(s, d), (40, 40, 1000)), 5)
 
 
 @query
@@ -536,7 +550,7 @@ def morton_index(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def value_sum(s: SparkSession, d: str) -> DataFrame:
-    return fixtures.voxels(s, d).agg(F.sum("v").alias("total"), F.sum((F.col("v") != 0).cast("long")).alias("n_lit"))
+    return lattice.totals(fixtures.voxels(s, d))
 
 
 @query
@@ -553,7 +567,7 @@ def repeated_requests(s: SparkSession, d: str) -> DataFrame:
 @query
 def last_writer(s: SparkSession, d: str) -> DataFrame:
     p = fixtures.points(s, d).select(F.floor("px").alias("x"), F.floor("py").alias("y"), "event_id")
-    return p.groupBy("x", "y").agg(F.max_by("event_id", "event_id").alias("last"), F.min_by("event_id", "event_id").alias("first"))
+    return mesh.writers(p, ["x", "y"], "event_id")
 
 
 @query

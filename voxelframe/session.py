@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog, mesh
 from .operators.composite import Composite
-from .operators.sample import Chunks, Pyramid, Volume, Voxels
+from .operators.sample import ChunkPyramid, Chunks, Volume
+from .plans import demand
 from .plans.demand import Render
-from .plans.tables import ship
+from .plans.tables import folder, ship
 from .sources import meshes, sinks, volumes
+from .sources.remote import RemoteVolume
 
 EDGES = {"tiles": 64, "cells": 500}
 
@@ -44,17 +46,24 @@ class Session:
     def list_volumes(self) -> list[str]:
         return [r.line for r in catalog.listing(self.volumes).orderBy("line").collect()] if self.volumes is not None else []
 
-    def open_volume(self, ref: str, ranges: volumes.Ranges | None = None) -> Volume:
-        """A registered id, or the location of a volume whose format its files show; `ranges` of chunk keys to read."""
+    def open_volume(self, ref: str, ranges: volumes.Ranges | None = None, cache: str | None = None, authorization: str | None = None, **how) -> Volume:
+        """A registered id, or the location of a volume whose format its files show; `ranges` of chunk keys to read.
+
+        A location may be a URL: its chunks are fetched as they are asked for and kept in `cache`, a folder that all
+        executors share (one below spark.checkpoint.dir by default).  `how`: concurrency, retries and wait of `fetch`.
+        """
         known = self.volumes.where(F.col("id") == ref).first() if self.volumes is not None else None
-        kind, place = (known.format, known.location) if known else (volumes.sniff(self.spark, ref), ref)
+        kind, place = (known.format, known.location) if known else (None, ref)
+        if volumes.is_url(place):
+            return RemoteVolume.open(self.spark, place, cache or f"{folder(self.spark)}/volumes", kind, authorization, **how).pyramid()
+        kind = kind or volumes.sniff(self.spark, place)
         if kind == "ome":
-            return Pyramid(_voxels(volumes.read_ome(self.spark, place, ranges=ranges), _edge(self.spark, f"{place}/0")))
+            edges = [volumes.edges(volumes.array_definition(self.spark, p)) for p in volumes.pyramid_paths(self.spark, place)]
+            return ChunkPyramid(volumes.read_ome(self.spark, place, ranges=ranges), tuple(edges))
         if kind == "layers":
-            layers = volumes.read_layers(self.spark, place)
-            return Voxels(_pixels(layers))
+            return Chunks(volumes.tiled_layers(volumes.read_layers(self.spark, place)), (volumes.LAYER_TILE, volumes.LAYER_TILE, 1))
         if kind == "zarr":
-            return Chunks(volumes.read_zarr(self.spark, place, ranges), _edge(self.spark, place))
+            return Chunks(volumes.read_zarr(self.spark, place, ranges), volumes.edges(volumes.array_definition(self.spark, place)))
         return Chunks(volumes.read_volume(self.spark, kind, place), EDGES[kind])
 
     def open_surface(self, obj: str, width: int, height: int, transform: str | None = None, invert: bool = False, ortho_xz: bool = False) -> OpenSurface:
@@ -98,33 +107,30 @@ class Session:
         return out.withColumn("w", F.col("w") + middle)
 
     def save_layers(self, images: DataFrame, width: int, height: int, folder: str, kind: str = "png") -> None:
-        sinks.write_files(sinks.layer_images(images, width, height, kind), folder)
-
-    @staticmethod
-    def plan(width: int, height: int, **parts) -> Render:
-        return Render(width, height, **parts)
-
+        """A file for each layer of (w, px, py, v): png, tif or jpg."""
+        sinks.write_layers(images, width, height, folder, kind)
 
-def _edge(spark: SparkSession, path: str) -> int:
-    edges = set(volumes.array_definition(spark, path)["chunks"])
-    if len(edges) != 1:
-        raise ValueError(f"chunks of unequal edges: {sorted(edges)}")
-    return edges.pop()
+    def needed(self, opened: OpenSurface, plan: Render) -> DataFrame:
+        """(level, cx, cy, cz): the finest level's chunks that a render reads, each once."""
+        need = demand.chunk_demand(opened.triangles, opened.surface, plan).select("cx", "cy", "cz").distinct()
+        return need.select(F.lit(0).alias("level"), "cx", "cy", "cz")
 
+    def batch_render(self, volume: Volume | RemoteVolume, opened: OpenSurface, plan: Render, folder: str, kind: str = "png", how: Composite | None = None, trilinear: bool = True) -> DataFrame | None:
+        """Plans the chunks of all tiles, fetches those that are missing, renders the layers and writes their files.
 
-def _voxels(chunks: DataFrame, edge: int) -> DataFrame:
-    """Chunks as voxels, for whole-volume work and pyramids."""
-    from .functions.expr import byte_at
-
-    i = F.col("i")
-    rows = chunks.select("level", "cx", "cy", "cz", "data", F.explode(F.sequence(F.lit(0), F.lit(edge**3 - 1))).alias("i"))
-    at = {"x": F.col("cx") * edge + i % edge, "y": F.col("cy") * edge + F.floor(i / edge) % edge, "z": F.col("cz") * edge + F.floor(i / (edge * edge))}
-    return rows.select("level", *[c.cast("bigint").alias(n) for n, c in at.items()], byte_at(F.col("data"), i).alias("v"))
-
-
-def _pixels(layers: DataFrame) -> DataFrame:
-    from .functions.expr import byte_at
+        Returns the report of what was fetched (state, n, bytes) for a volume behind a URL.
+        """
+        report = None
+        if isinstance(volume, RemoteVolume):
+            plan = replace(plan, chunk=volume.edges[0])
+            report = volume.fetch(self.needed(opened, plan))
+            volume = volume.pyramid()
+        layers = range(plan.first_layer, plan.last_layer + 1)
+        crop = (plan.left, plan.top, plan.width, plan.height)
+        images = self.render_surface(volume, opened, layers, plan.middle, crop, how, trilinear)
+        self.save_layers(images, plan.width, plan.height, folder, kind)
+        return report
 
-    i = F.col("i")
-    rows = layers.select("z", "width", "data", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("width").cast("bigint") * F.col("height") - 1)).alias("i"))
-    return rows.select((i % F.col("width")).alias("x"), F.floor(i / F.col("width")).alias("y"), F.col("z").cast("bigint").alias("z"), byte_at(F.col("data"), i).alias("v"))
+    @staticmethod
+    def plan(width: int, height: int, **parts) -> Render:
+        return Render(width, height, **parts)

@@ -140,6 +140,141 @@ def png_encode(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
+class PngStream:
+    """A gray PNG written line by line."""
+
+    def __init__(self, write, width: int, height: int) -> None:
+        self.write, self.pack = write, zlib.compressobj()
+        write(b"\x89PNG\r\n\x1a\n")
+        self._chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, 0, 0, 0, 0))
+
+    def _chunk(self, kind: bytes, body: bytes) -> None:
+        if body or kind == b"IEND":
+            self.write(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)))
+
+    def add(self, lines: np.ndarray) -> None:
+        self._chunk(b"IDAT", self.pack.compress(np.concatenate([np.zeros((len(lines), 1), np.uint8), lines], 1).tobytes()))
+
+    def end(self) -> None:
+        self._chunk(b"IDAT", self.pack.flush())
+        self._chunk(b"IEND", b"")
+
+
+class TiffStream:
+    """An uncompressed gray TIFF of one strip written line by line."""
+
+    def __init__(self, write, width: int, height: int) -> None:
+        self.write = write
+        if width * height >= 1 << 32:
+            raise ValueError("the image is too large for a TIFF file")
+        tags = ((WIDTH, 4, width), (HEIGHT, 4, height), (BITS, 3, 8), (COMPRESSION, 3, 1), (262, 3, 1), (OFFSETS, 4, 8 + 2 + 12 * 8 + 4), (SAMPLES, 3, 1), (COUNTS, 4, width * height))
+        write(struct.pack("<2sHIH", b"II", 42, 8, len(tags)) + b"".join(struct.pack("<HHII", t, kind, 1, v) for t, kind, v in tags) + struct.pack("<I", 0))
+
+    def add(self, lines: np.ndarray) -> None:
+        self.write(np.ascontiguousarray(lines).tobytes())
+
+    def end(self) -> None:
+        pass
+
+
+#: Fixed values of baseline JPEG: the quantisation of luminance at quality 50, row by row, and the lengths and symbols of its Huffman codes.
+JPEG_QUANT = (
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+)
+JPEG_DC = (bytes((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)), bytes(range(12)))
+
+
+def _jpeg_codes(lengths: bytes, symbols: bytes) -> dict[int, tuple[int, int]]:
+    """Code and length of each symbol: codes of a length count on from the shorter ones."""
+    out, code, at = {}, 0, 0
+    for size, n in enumerate(lengths, 1):
+        for s in symbols[at : at + n]:
+            out[s] = (code, size)
+            code += 1
+        at, code = at + n, code << 1
+    return out
+
+
+def _jpeg_ac() -> tuple[bytes, bytes]:
+    """A code for each pair of a run of zeros and a size, small ones first: the file holds the table, so any complete one will do."""
+    pairs = [0x00, 0xF0, *[run << 4 | size for run in range(16) for size in range(1, 11)]]
+    pairs.sort(key=lambda p: ((p >> 4) + 2 * (p & 15) if p else 3, p))
+    return bytes((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125)), bytes(pairs)
+
+
+JPEG_AC = _jpeg_ac()
+
+
+class JpegStream:
+    """A gray baseline JPEG written in strips of whole blocks but for the last one."""
+
+    def __init__(self, write, width: int, height: int, quality: int = 75) -> None:
+        scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+        self.quant = np.clip((np.array(JPEG_QUANT).reshape(8, 8) * scale + 50) // 100, 1, 255)
+        order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))  # zigzag
+        self.zigzag = np.array([y * 8 + x for y, x in order])
+        k = np.arange(8)
+        self.dct = np.where(k[:, None] == 0, 8**-0.5, 0.5 * np.cos((2 * k[None] + 1) * k[:, None] * np.pi / 16))
+        self.dc, self.ac = _jpeg_codes(*JPEG_DC), _jpeg_codes(*JPEG_AC)
+        self.write, self.width, self.last, self.bits, self.n = write, width, 0, 0, 0
+        if max(width, height) >= 1 << 16:
+            raise ValueError("the image is too large for a JPEG file")
+        part = lambda mark, body: bytes((0xFF, mark)) + struct.pack(">H", len(body) + 2) + body
+        write(b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + part(0xDB, b"\0" + bytes(self.quant.ravel()[self.zigzag].astype(np.uint8))))
+        write(part(0xC0, struct.pack(">BHHB3B", 8, height, width, 1, 1, 0x11, 0)) + part(0xC4, b"\x00" + b"".join(JPEG_DC)) + part(0xC4, b"\x10" + b"".join(JPEG_AC)) + part(0xDA, bytes((1, 1, 0, 0, 63, 0))))
+
+    def add(self, lines: np.ndarray) -> None:
+        h, w = lines.shape
+        whole = np.pad(lines, ((0, -h % 8), (0, -w % 8)), "edge").astype(np.float64) - 128
+        blocks = whole.reshape(whole.shape[0] // 8, 8, -1, 8).swapaxes(1, 2).reshape(-1, 8, 8)
+        coded = np.rint(self.dct @ blocks @ self.dct.T / self.quant).astype(np.int64).reshape(-1, 64)[:, self.zigzag]
+        out = bytearray()
+        for block in coded.tolist():
+            diff, self.last = block[0] - self.last, block[0]
+            self._number(out, self.dc, 0, diff)
+            run, end = 0, 63
+            while end and not block[end]:
+                end -= 1
+            for v in block[1 : end + 1]:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    self._emit(out, *self.ac[0xF0])
+                    run -= 16
+                self._number(out, self.ac, run, v)
+                run = 0
+            if end < 63:
+                self._emit(out, *self.ac[0])
+        self.write(bytes(out))
+
+    def _number(self, out: bytearray, codes: dict, run: int, v: int) -> None:
+        size = abs(v).bit_length()
+        self._emit(out, *codes[run << 4 | size])
+        if size:
+            self._emit(out, v if v > 0 else v + (1 << size) - 1, size)
+
+    def _emit(self, out: bytearray, code: int, size: int) -> None:
+        self.bits, self.n = self.bits << size | code, self.n + size
+        while self.n >= 8:
+            byte = self.bits >> (self.n - 8) & 0xFF
+            out.append(byte)
+            if byte == 0xFF:
+                out.append(0)
+            self.n -= 8
+        self.bits &= (1 << self.n) - 1
+
+    def end(self) -> None:
+        out = bytearray()
+        if self.n:
+            self._emit(out, (1 << (8 - self.n)) - 1, 8 - self.n)
+        self.write(bytes(out) + b"\xff\xd9")
+
+
+STREAMS = {"png": PngStream, "tif": TiffStream, "jpg": JpegStream}
+
+
 def map_header(data: bytes) -> tuple[dict[str, str], int]:
     """The `key: value` lines of a per-pixel map and where its samples begin."""
     end = data.index(b"<>\n")
