@@ -329,7 +329,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join, tables: Ta
     # candidate groups
     spread = classes.select("key", F.explode("bands").alias("bucket"))
     buckets = tables.cut(spread.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub"))
-    edges = tables.cut(spread.join(buckets, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
+    shared = _maybe(spread, "bucket", buckets.select(F.col("bucket").alias("row")), tables).where(F.col(MAYBE)).drop(MAYBE)
+    edges = tables.cut(shared.join(buckets, "bucket").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct())
     groups = tables.cut(connected_components(edges, tables).select(F.col("node").alias("key"), F.col("root").alias("group")))
     tables.drop(edges)
     dealt = tables.cut(_dealt(classes, groups, buckets, join, tables))
