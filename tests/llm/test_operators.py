@@ -885,3 +885,86 @@ def test_large_whole_numbers_are_exact():
 
 def test_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+# --- clashing names
+
+
+def clashing(spark, *names):
+    """A table whose other columns have the names that operators use for themselves, in another letter case, too."""
+    rows = [(1, "some text here", "en", "s", *names), (None, None, None, None, *names)]
+    return spark.createDataFrame(rows, ", ".join(["doc_id bigint", "text string", "lang string", "source string", *[f"`{n}` string" for n in names]]))
+
+
+def test_own_names_of_operators_are_free(spark):
+    """Columns of any name pass through; only those with the name of a new column are replaced."""
+    names = ["crf", "CRF_", "rules", "Language", "license_found", "html_extract", "chat", "bpe_text", "row", "ROW2", "maybe", "word", "bits", "mix_size", "mix_total", "Mix_key", "mix_position", "key", "id", "quality_crf_struct", "bpe_text_"]
+    docs = clashing(spark, *names)
+    model, lang = quality_crf.fit(quality_crf.sample_of(["x"], [1])), language_id.fit([b"abc"], ["en"])
+    planned = source_mix.plan(docs, prefix="p_")
+    out = [
+        quality_crf.score_documents(docs, model),
+        quality_crf.keep_good(docs, model),
+        quality_rules.apply_rules(docs),
+        quality_rules.keep_good(docs, rules=quality_rules.Rules(min_words=0)),
+        language_id.identify(docs, lang),
+        license_scan.scan(docs),
+        html_extract.extract(docs, html_col="text", text_col="main"),
+        bpe.encode_documents(docs),
+        bpe.round_trip_documents(docs),
+        ngram_join.keep_one(docs),
+        planned,
+        source_mix.passes(planned, docs.columns, prefix="p_"),
+        source_mix.training_order(planned, docs.columns, prefix="p_"),
+        chat_format.format_records(docs, "text"),
+    ]
+    for df in out:
+        assert set(docs.columns) <= set(df.columns), df.columns
+        for r in df.collect():
+            assert all(r[n] == n for n in names)
+    assert out[1].columns == out[3].columns == out[9].columns == docs.columns
+    new = clashing(spark, "score", "N_Lines", "kept", "ratio", "taken", "licenses", "n_turns", "ids")
+    assert quality_crf.score_documents(new, model).columns.count("score") == 1 and "N_Lines" not in quality_crf.score_documents(new, model).columns
+    assert quality_rules.apply_rules(new).select("kept", "ratio").schema[0].dataType.simpleString() == "boolean"
+    assert source_mix.plan(new).schema["taken"].dataType.simpleString() == "bigint" and bpe.encode_documents(new).schema["ids"].dataType.simpleString() == "array<int>"
+
+
+# --- language documents against a plain network
+
+
+def plain_language(text, model):
+    """Pooled probabilities and the labels of every byte, a byte at a time."""
+    data, size = text.encode(), model.loop.shape[2]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(part, d):
+        h, out = np.zeros(size), []
+        for b in part:
+            i, w = model.embed[d, b].astype(float), model.loop[d].astype(float)
+            z, r = sig(i[:size] + w[:size] @ h), sig(i[size : 2 * size] + w[size : 2 * size] @ h)
+            c = np.tanh(i[2 * size :] + r * (w[2 * size :] @ h))
+            h = c + z * (h - c)
+            out.append(h)
+        return out
+
+    total, votes = np.zeros(len(model.langs)), np.zeros(len(model.langs), int)
+    for k in range(0, len(data), model.window):
+        part = data[k : k + model.window]
+        for f, b in zip(states(part, 0), states(part[::-1], 1)[::-1]):
+            e = np.concatenate([f, b]) @ model.out + model.bias
+            p = np.exp(e - e.max())
+            total += p / p.sum()
+            votes[e.argmax()] += 1
+    return total / max(1, len(data)), votes
+
+
+def test_language_documents_equal_plain():
+    rows = bilingual(40)
+    model = language_id.fit([t.encode() for t, _ in rows], [y for _, y in rows], language_id.Fit(steps=40))
+    texts = [rows[0][0], rows[-1][0], rows[0][0][:70] + rows[-1][0][:200], "é 中文 😀 abc", "x", rows[1][0][:64], rows[1][0][:65]]
+    got = language_id.predict_batch(pa.array(texts), model).to_pylist()
+    p, votes = language_id.probabilities(*bt.flatten(pa.array(texts)), model)
+    for k, t in enumerate(texts):
+        want, labels = plain_language(t, model)
+        assert np.allclose(p[k], want, atol=1e-5) and np.abs(votes[k] - labels).sum() <= 2  # a tie may round either way
+        assert got[k]["lang"] == model.langs[int(want.argmax())] and abs(got[k]["score"] - want.max()) < 1e-5

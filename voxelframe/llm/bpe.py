@@ -65,7 +65,8 @@ class Vocab:
     """A byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
     def __init__(self, path: str) -> None:
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model, alphabet = spec["model"], byte_alphabet()
         to_bytes = lambda s: bytes(alphabet[c] for c in s)
         ids: dict[bytes, int] = {to_bytes(s): i for s, i in model["vocab"].items()}
@@ -84,6 +85,7 @@ class Vocab:
             tokens.append(a + b)
             self.halves.append(pair)
         self.tokens, self.number = tokens, number
+        del model, spec["model"]  # large, and read
         self.outer = [ids[t] for t in tokens]
         self.shorter = [-1] * len(tokens)
         for i, t in enumerate(tokens):

@@ -53,9 +53,9 @@ class Join:
     recall: float = 0.99999
     most_hashes: int = 240
     block_rows: int = 4096  # classes of a block
-    block_bytes: int = 16 << 20  # of their sets
+    block_bytes: int = 4 << 20  # of their sets
     whole: int = 512  # groups of no more classes are verified as a whole
-    tile: int = 512
+    tile: int = 256
     seed: int = 11
 
 
@@ -157,7 +157,7 @@ class Sets:
         return self.flat[bt.ragged(self.begin[at], self.lens[at])], np.repeat(np.arange(len(at)), self.lens[at])
 
 
-def overlaps(sets: Sets, a: np.ndarray, b: np.ndarray, columns: int = 8192) -> np.ndarray:
+def overlaps(sets: Sets, a: np.ndarray, b: np.ndarray, columns: int = 4096) -> np.ndarray:
     """(a, b) sizes of the intersections of sets."""
     x, x_row = sets.of(a)
     same = a is b
