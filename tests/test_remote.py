@@ -85,6 +85,17 @@ def test_tiles_by_url(spark, served, tmp_path):
     assert got == {k: v[int(z), int(y), int(x)] for k, x, y, z in rows} | {99: 0}
 
 
+def test_mesh_by_url(spark, served, files, tmp_path):  # noqa: F811
+    www, url, asked = served
+    (www / "mesh.obj").write_bytes((files / "mesh.obj").read_bytes())
+    s = Session(spark)
+    for _ in range(2):
+        opened = s.open_surface(f"{url}/mesh.obj", 120, 120, cache=str(tmp_path / "cache"))
+    assert asked.count("/mesh.obj") == 1 and opened.triangles.count() == 800
+    with pytest.raises(ValueError):
+        remote.cached_file(spark, f"{url}/none.obj", str(tmp_path / "cache"))
+
+
 def test_unreachable_servers_are_asked_again(spark, tmp_path):
     volume = remote.RemoteVolume(spark, "http://127.0.0.1:9", "tiles", str(tmp_path / "cache"), retries=0)
     keys = spark.createDataFrame([(0, 0, 0, 0)], "level int, cx bigint, cy bigint, cz bigint")

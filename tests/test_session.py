@@ -147,6 +147,30 @@ def test_segments(spark, files, tmp_path):
         s.open_segment("none")
 
 
+def test_cancelled_views_end(spark):
+    import threading
+    import time
+
+    s, ended = Session(spark), []
+
+    def view():
+        with s.cancellable("left pane"):
+            try:
+                spark.range(0, 1 << 40, 1, 4).selectExpr("sum(hash(id) % 7)").collect()
+            except Exception as e:
+                ended.append(e)
+
+    thread = threading.Thread(target=view)
+    thread.start()
+    for _ in range(100):
+        time.sleep(0.3)
+        s.cancel("left pane")
+        if not thread.is_alive():
+            break
+    thread.join(30)
+    assert len(ended) == 1 and spark.range(3).count() == 3
+
+
 def test_moves():
     r = ((0, 100), (0, 100), (0, 100))
     assert slices.scrolled((5, 5, 50), "XY", 1, 0.25, r) == (5, 5, 64)  # one step of 16, snapped

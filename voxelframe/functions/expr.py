@@ -116,6 +116,11 @@ def level_of_downsampling(d: Column) -> Column:
     return (F.length(F.bin(d.bitwiseAND(-d))) - 1).cast("int")
 
 
+def valid_target(x: Column, y: Column, z: Column) -> Column:
+    """Whether views may follow to a place: it lies on no negative coordinate; unknown places are none."""
+    return F.coalesce((x >= 0) & (y >= 0) & (z >= 0), F.lit(False))
+
+
 def align_down(v: Column, step: int) -> Column:
     return idiv(v, step) * step
 

@@ -10,6 +10,9 @@ from ..plans.tables import Tables
 from .components import connected_components
 
 
+RANGES = 4096
+
+
 def voxel_components(voxels: DataFrame, shape: tuple[int, int, int], value: str = "v", background: int | None = None) -> DataFrame:
     """(x, y, z, <value>, component): voxels of equal value that touch face to face; a component is named by its least linear index.
 
@@ -33,8 +36,16 @@ def numbered(components: DataFrame, small: int) -> DataFrame:
     """`components` with an id: 1 for those of at most `small` voxels, the others counted on from 3 by name, at most 255 ids in use."""
     from pyspark.sql import Window
 
-    sizes = component_sizes(components)
-    large = sizes.where(F.col("n") > small).withColumn("id", ((F.row_number().over(Window.orderBy("component")) + 2) % 256).cast("int"))
+    tables = Tables(components.sparkSession)
+    large = tables.cut(component_sizes(components).where(F.col("n") > small).select("component"))
+    # a place by name is a prefix sum over ranges of names and a row number inside a range
+    ends = large.agg(F.min("component").alias("low"), F.max("component").alias("high")).first()
+    low, width = ends.low or 0, max(1, -(-((ends.high or 0) - (ends.low or 0) + 1) // RANGES))
+    ranged = large.withColumn("range", F.floor((F.col("component") - low) / width))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))  # RANGES rows at most
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("component"))
+    large = ranged.withColumn("k", inside).join(starts, "range").select("component", ((F.col("k") + F.col("before") + 2) % 256).cast("int").alias("id"))
     return components.join(large.select("component", "id"), "component", "left").withColumn("id", F.coalesce("id", F.lit(1)))
 
 

@@ -176,6 +176,7 @@ add(
     f"hit AS (SELECT *, {W[0]} AS w0, {W[1]} AS w1, {W[2]} AS w2 FROM corner, q WHERE qu BETWEEN {LOW('u')} AND {HIGH('u')} AND qv BETWEEN {LOW('v')} AND {HIGH('v')} AND {_cellq('qu/120.0::double')} BETWEEN {_cellf(LOW('tu'))} AND {_cellf(HIGH('tu'))} AND {_cellq('qv/120.0::double')} BETWEEN {_cellf(LOW('tv'))} AND {_cellf(HIGH('tv'))})",
     f"mixed AS (SELECT event_id, f, w, {', '.join(map(_mix, ('x', 'y', 'z', 'nx', 'ny', 'nz')))} FROM hit WHERE w0>=0 AND w1>=0 AND w2>=0 AND w0+w1+w2>0)",
 )
+SQL["sync_target"] = f"SELECT event_id, x>=0 AND y>=0 AND z>=0 AS valid FROM ({SQL['uv_to_xyz']})"
 _at = lambda w: ", ".join(f"{c}+{w}*n{c} AS p{c}" for c in "xyz")
 _near = f"LEFT JOIN vox ON vox.x={idx('p.px_')} AND vox.y={idx('p.py_')} AND vox.z={idx('p.pz_')}"
 _ray = lambda w: ", ".join(f"{c}+{w}*n{c} AS p{c}_" for c in "xyz")
@@ -276,6 +277,8 @@ walk AS (SELECT i AS root, i AS node FROM cls UNION SELECT root, b FROM walk JOI
 comp AS (SELECT node, min(root) AS component FROM walk GROUP BY node)"""
 add("components_volume", "SELECT x, y, z, component FROM cls JOIN comp ON node=i", VOX, CLASSED, REACH)
 add("component_sizes", "SELECT component, count(*) AS n FROM comp GROUP BY component HAVING count(*)>5", VOX, CLASSED, REACH)
+add("component_numbers", """SELECT component, n, CASE WHEN n>5 THEN ((rank+2)%256)::int ELSE 1 END AS id
+ FROM (SELECT *, row_number() OVER (PARTITION BY n>5 ORDER BY component) AS rank FROM (SELECT component, count(*) AS n FROM comp GROUP BY component))""", VOX, CLASSED, REACH)
 add("point_cloud", "SELECT CASE WHEN v>=127 THEN 1 ELSE 2 END AS part, x, y, z FROM vox", VOX)
 add("morton_index", """SELECT x, y, z, v, ((((z&7936)<<2)|((y&7936)>>3)|((x&7936)>>8))<<24) | ((((z&240)<<4)|(y&240)|((x&240)>>4))<<12) | (((z&15)<<8)|((y&15)<<4)|(x&15)) AS address
  FROM (SELECT x*203 AS x, y*203 AS y, z*97 AS z, v FROM vox)""", VOX)

@@ -309,6 +309,12 @@ def uv_to_xyz(s: SparkSession, d: str) -> DataFrame:
     return mesh.uv_to_xyz(p, tri, SURFACE, uv_grid(tri), "event_id").select("event_id", "x", "y", "z")
 
 
+@query
+def sync_target(s: SparkSession, d: str) -> DataFrame:
+    at = QUERIES["uv_to_xyz"](s, d)
+    return at.select("event_id", X.valid_target(F.col("x"), F.col("y"), F.col("z")).alias("valid"))
+
+
 @query
 def surface_render(s: SparkSession, d: str) -> DataFrame:
     tri = triangles(s)
@@ -537,6 +543,12 @@ def component_sizes(s: SparkSession, d: str) -> DataFrame:
     return lattice.component_sizes(lattice.voxel_components(classed(s, d), (40, 40, 1000)), 5)
 
 
+@query
+def component_numbers(s: SparkSession, d: str) -> DataFrame:
+    found = lattice.numbered(lattice.voxel_components(classed(s, d), (40, 40, 1000)), 5)
+    return found.groupBy("component").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+
+
 @query
 def point_cloud(s: SparkSession, d: str) -> DataFrame:
     return lattice.point_cloud(fixtures.voxels(s, d), 127)

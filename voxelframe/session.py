@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,7 @@ from .plans import demand
 from .plans.demand import Render
 from .plans.tables import folder, ship
 from .sources import meshes, sinks, volumes
-from .sources.remote import RemoteVolume
+from .sources.remote import RemoteVolume, cached_file
 
 EDGES = {"tiles": 64, "cells": 500}
 
@@ -66,8 +68,10 @@ class Session:
             return Chunks(volumes.read_zarr(self.spark, place, ranges), volumes.edges(volumes.array_definition(self.spark, place)))
         return Chunks(volumes.read_volume(self.spark, kind, place), EDGES[kind])
 
-    def open_surface(self, obj: str, width: int, height: int, transform: str | None = None, invert: bool = False, ortho_xz: bool = False) -> OpenSurface:
-        """An OBJ file as a surface of `width` x `height` pixels, moved by an affine transform (or its inverse) first."""
+    def open_surface(self, obj: str, width: int, height: int, transform: str | None = None, invert: bool = False, ortho_xz: bool = False, cache: str | None = None, authorization: str | None = None) -> OpenSurface:
+        """An OBJ file, by place or URL, as a surface of `width` x `height` pixels, moved by an affine transform (or its inverse) first."""
+        if volumes.is_url(obj):
+            obj = cached_file(self.spark, obj, cache or f"{folder(self.spark)}/volumes", authorization)
         parts = meshes.read_obj(self.spark, obj)
         if transform:
             m = meshes.read_affine(self.spark, transform)
@@ -110,6 +114,20 @@ class Session:
         """A file for each layer of (w, px, py, v): png, tif or jpg."""
         sinks.write_layers(images, width, height, folder, kind)
 
+    @contextmanager
+    def cancellable(self, name: str) -> Iterator[None]:
+        """What this thread runs inside may be cancelled by `cancel(name)` from another thread."""
+        context = self.spark.sparkContext
+        context.addJobTag(name)
+        try:
+            yield
+        finally:
+            context.removeJobTag(name)
+
+    def cancel(self, name: str) -> None:
+        """Ends the running jobs of a view that is no longer looked at; their actions raise."""
+        self.spark.sparkContext.cancelJobsWithTag(name)
+
     def needed(self, opened: OpenSurface, plan: Render) -> DataFrame:
         """(level, cx, cy, cz): the finest level's chunks that a render reads, each once."""
         need = demand.chunk_demand(opened.triangles, opened.surface, plan).select("cx", "cy", "cz").distinct()

@@ -6,6 +6,7 @@ import base64
 import time
 import urllib.error
 import urllib.request
+import uuid
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -44,6 +45,33 @@ def is_authorized(url: str, authorization: str | None = None) -> bool:
     return get(url, authorization, retries=0)[0] == 200
 
 
+def cached_file(spark: SparkSession, url: str, cache: str, authorization: str | None = None, timeout: float = 60.0) -> str:
+    """Where the file of a URL lies in a cache that all executors share; fetched if it is not there yet.
+
+    It is written beside its place a few megabytes at a time and then moved, so a broken transfer leaves no part.
+    Raises ValueError if the server does not have it.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    name = spark.range(1).select(cache_name(F.lit(url)).alias("n")).first().n
+    place = jvm.org.apache.hadoop.fs.Path(f"{cache.rstrip('/')}/files/{name}/{url.rstrip('/').rsplit('/', 1)[-1]}")
+    store = place.getFileSystem(conf)
+    if store.exists(place):
+        return place.toString()
+    part = place.suffix(f".{uuid.uuid4().hex}")
+    request = urllib.request.Request(url, headers={"Authorization": authorization} if authorization else {})
+    try:
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            out = store.create(part)
+            while body := answer.read(4 << 20):
+                out.write(bytearray(body))
+            out.close()
+    except (urllib.error.URLError, OSError) as e:
+        store.delete(part, False)
+        raise ValueError(f"no file at {url}: {e}") from e
+    store.rename(part, place)
+    return place.toString()
+
+
 def fetch(requests: DataFrame, url_col: str = "url", concurrency: int = 32, authorization: str | None = None, retries: int = 20, wait: float = 10.0) -> DataFrame:
     """`requests` with status, state (Done, Delayed or Failed) and data.  Each distinct URL is asked for once, by `concurrency` tasks at most.
 
