@@ -35,9 +35,9 @@ from . import bytetext as bt
 from .columns import spare
 
 DEFAULT_VOCAB = public_tokenizers.path("byte_bpe_50k.json")
-CACHED_PIECES = 200_000
-CACHED_PAIRS = 200_000
-SLICE_BYTES = 2 << 20
+CACHED_PIECES = 100_000
+CACHED_PAIRS = 100_000
+SLICE_BYTES = 1 << 20
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: Contractions are pieces of their own.
@@ -53,11 +53,14 @@ def byte_alphabet() -> dict[str, int]:
 
 def _char_classes() -> np.ndarray:
     out = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(pattern, every):
-            a, b = ord(every[m.start()]), ord(every[m.end() - 1])
-            out[a : b + 1] = kind
+    kinds = [(kind, regex.compile(pattern)) for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+"))]
+    for page in range(0, 0x110000, 0x800):  # a page at a time: all characters at once are 80 MB of objects
+        if 0xD800 <= page < 0xE000:
+            continue
+        every = "".join(map(chr, range(page, page + 0x800)))
+        for kind, pattern in kinds:
+            for m in pattern.finditer(every):
+                out[page + m.start() : page + m.end()] = kind
     return out
 
 
