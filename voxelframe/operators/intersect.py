@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.num import idiv, side, to_i32
@@ -63,20 +63,24 @@ def line_pixels(segments: DataFrame, width: int, height: int) -> DataFrame:
     Bresenham's line in closed form: step k is k pixels along the longer side and (2k * shorter + longer) div (2 * longer)
     along the other.  Only steps whose place on the longer side is inside the canvas become rows.
     """
-    big = lambda c: c.cast("bigint")
-    x0, y0, x1, y1 = (big(F.col(c)) for c in ("x0", "y0", "x1", "y1"))
+    x0, y0, x1, y1 = (F.col(c).cast("bigint") for c in ("x0", "y0", "x1", "y1"))
     dx, dy = F.abs(x1 - x0), F.abs(y1 - y0)
     sx, sy = F.when(x0 < x1, 1).otherwise(-1), F.when(y0 < y1, 1).otherwise(-1)
-    along_x = dx >= dy
-    longer, shorter = F.greatest(dx, dy), F.least(dx, dy)
-    start, way, size = F.when(along_x, x0).otherwise(y0), F.when(along_x, sx).otherwise(sy), F.when(along_x, F.lit(width)).otherwise(F.lit(height))
-    first = F.greatest(F.lit(0), F.when(way > 0, -start).otherwise(start - size + 1))
+    along_x, longer, shorter = dx >= dy, F.greatest(dx, dy), F.least(dx, dy)
+    pick = lambda x, y: F.when(along_x, x).otherwise(y)
+    start, way, size = pick(x0, y0), pick(sx, sy), pick(F.lit(width), F.lit(height)).cast("bigint")
+    first = F.greatest(F.lit(0).cast("bigint"), F.when(way > 0, -start).otherwise(start - size + 1))
     last = F.least(longer - 1, F.when(way > 0, size - 1 - start).otherwise(start))
-    out = segments.withColumn("_k", F.explode(F.when(first <= last, F.sequence(big(first), big(last)))))
-    k = F.col("_k")
-    side_step = idiv(2 * k * shorter + longer, 2 * longer)
-    out = out.withColumns({"px": x0 + sx * F.when(along_x, k).otherwise(side_step), "py": y0 + sy * F.when(along_x, side_step).otherwise(k)}).drop("_k")
-    return out.where(f"px >= 0 and px < {width} and py >= 0 and py < {height}")
+
+    def place(k: Column) -> Column:
+        aside = idiv(2 * k * shorter + longer, 2 * longer)
+        return F.struct((x0 + sx * pick(k, aside)).alias("px"), (y0 + sy * pick(aside, k)).alias("py"))
+
+    # one expression: as columns with filters between them, its parts take the optimiser minutes
+    inside = lambda p: (p.px >= 0) & (p.px < width) & (p.py >= 0) & (p.py < height)
+    path = F.when(first <= last, F.filter(F.transform(F.sequence(first, last), place), inside))
+    out = segments.withColumn("_at", F.explode(path))
+    return out.withColumns({"px": F.col("_at.px"), "py": F.col("_at.py")}).drop("_at")
 
 
 def colored(pixels: DataFrame) -> DataFrame:
