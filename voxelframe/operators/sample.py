@@ -39,9 +39,9 @@ def inside(points: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
 
 def _corners(points: DataFrame, key: str) -> DataFrame:
     """A row for each distinct corner of a point's cell: key, _k, _x, _y, _z."""
-    base = [to_index(F.col(f"p{c}")) for c in "xyz"]
-    corner = F.array(*[F.struct(F.lit(k).alias("_k"), *[(b + d).alias(f"_{c}") for b, d, c in zip(base, off, "xyz", strict=True)]) for k, off in enumerate(CORNERS)])
-    return points.select(key, F.explode(corner).alias("_c")).select(key, "_c.*")
+    base = points.select(key, *[to_index(F.col(f"p{c}")).alias(f"_b{c}") for c in "xyz"], F.explode(F.array(*map(F.lit, range(8)))).alias("_k"))
+    bit = lambda k: F.shiftright("_k", k).bitwiseAND(1)
+    return base.select(key, "_k", *[(F.col(f"_b{c}") + bit(k)).alias(f"_{c}") for k, c in enumerate("xyz")])
 
 
 def _blend(points: DataFrame, values: DataFrame, key: str, strict: bool) -> DataFrame:
